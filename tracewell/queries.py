@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.functions import scalar
+from tracewell.operators import relational
+
+REGISTRIES = [relational.REGISTRY, scalar.REGISTRY]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for r in REGISTRIES for name, f in r.functions.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for r in REGISTRIES for name, sql in r.sql.items()}
