@@ -1,0 +1,49 @@
+"""Classification of lineage facts as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def write_mode(statement: Column) -> Column:
+    s = F.upper(statement)
+    return F.when(s.contains("OVERWRITE"), "OVERWRITE").when(s.contains("INSERT"), "INSERT").when(s.contains("CREATE"), "CREATE").when(s.contains("WRITE"), "WRITE")
+
+
+def category(pretty_name: Column) -> Column:
+    """Expression category by the function's pretty name."""
+    n = F.lower(pretty_name)
+    return (
+        F.when(n.isin("casewhen", "if"), "case_when").when(n.isin("sum", "max", "min", "count", "avg", "max_by", "min_by", "aggregateexpression"), "aggregate").when(n.isin("windowexpression", "row_number", "rank"), "window")
+        .when(n == "cast", "cast").when(n.isin("coalesce", "nvl"), "coalesce").when(n.contains("udf"), "udf").when(n.isin("alias", "attributereference"), "projection").otherwise("arithmetic")
+    )
+
+
+def black_box(category_: Column) -> Column:
+    return category_ == "udf"
+
+
+def instance_role(instance_type: Column, operator: Column) -> Column:
+    read = F.when(operator == "group_key", "group_key").when(operator == "aggregate_expression", "agg_input").when(operator.isNull(), "source").otherwise("derived")
+    return F.when(instance_type == "OUTPUT", "output").otherwise(read)
+
+
+def predicate_role(node: Column, over_aggregate: Column, with_window: Column) -> Column:
+    return F.when(node == "Join", "join_on").when(node != "Filter", "other").when(over_aggregate, "having").when(with_window, "qualify").otherwise("where")
+
+
+def predicate_edge_role(role: Column) -> Column:
+    return F.when(role == "where", "filter_condition").when(role == "join_on", "join_condition").otherwise(F.concat(role, F.lit("_condition")))
+
+
+def join_role(join_type: Column) -> Column:
+    return F.concat(F.replace(F.lower(join_type), F.lit(" "), F.lit("")), F.lit("_join"))
+
+
+def input_role(ordinal: Column) -> Column:
+    return F.when(ordinal == 0, "left_input").when(ordinal == 1, "right_input").otherwise(F.concat(F.lit("join_input_"), ordinal.cast("string")))
+
+
+def flow_edge_type(source_kind: Column, sink_kind: Column) -> Column:
+    return F.concat_ws("_TO_", F.upper(source_kind), F.upper(sink_kind))

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.functions import scalar
-from tracewell.operators import relational
+from tracewell.operators import graph_queries, lineage_queries, relational
+from tracewell.operators.registry import Tables
+from tracewell.plans.lineage import column_lineage
 
-REGISTRIES = [relational.REGISTRY, scalar.REGISTRY]
+REGISTRIES = [relational.REGISTRY, scalar.REGISTRY, graph_queries.REGISTRY, lineage_queries.REGISTRY]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Column lineage of an INSERT with a left join, a filter and conditional sums."""
+    lineage_queries.views(Tables(spark, sf_dir))
+    return column_lineage(spark, lineage_queries.JOIN_FILTER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
