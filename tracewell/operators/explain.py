@@ -16,7 +16,8 @@ from tracewell.operators import graph
 from tracewell.plans import ids
 from tracewell.sources.shared import stored
 
-_VALUE = tuple(f for f in graph.FLOWS)
+#: Flows of values alone, without what filters and joins decide.
+_VALUE = tuple(f for f in graph.FLOWS if "predicate" not in f and "relation" not in f)
 
 
 class FieldNotFound(LookupError):
@@ -58,7 +59,7 @@ class Explainer:
         return e.filter(F.col("last_event_id") == anchor) if anchor and "last_event_id" in e.columns else e
 
     def flow(self, anchor: str | None = None) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self.edges(n, anchor).select("src", "dst", "role", "last_event_id", "last_seen_time", F.lit(n).alias("kind")) for n in _VALUE))
+        return reduce(DataFrame.unionByName, (self.edges(n, anchor).select("src", "dst", "role", "last_event_id", "last_seen_time", F.lit(n).alias("kind")) for n in graph.FLOWS))
 
     def instances(self, column_ids: DataFrame) -> DataFrame:
         """OUTPUT instances of the columns (`vid`), else all their instances."""
@@ -90,6 +91,12 @@ class Explainer:
         columns = self.of(reached, "column_instance_node").select(F.col("column_id").alias("vid")).distinct()
         return self.t["column_node"].join(columns, "vid").join(own.select("vid"), "vid", "left_anti")
 
+    def value_columns(self, own: DataFrame, anchor: str | None) -> list[str]:
+        """Columns whose values reach the field, as owner.name."""
+        flow = self.flow(anchor).filter(F.col("kind").isin(*_VALUE)).select("src", "dst")
+        reached = graph.closure(flow, self.instances(own).select(F.col("vid").alias("seed")))
+        return sorted(f"{r['owner_id']}.{r['name']}" for r in self.upstream_columns(reached, own).collect() if not r["owner_id"].startswith("scope:"))
+
     def source_columns(self, expression: str, anchor: str | None = None) -> DataFrame:
         """Columns that an expression reads, through its instances; (owner, name) once."""
         read = self.edges("latest_column_instance_flows_to_expression", anchor).filter(F.col("dst") == expression)
@@ -140,6 +147,7 @@ class Explainer:
             "target": {"table": table, "column": target["name"], "id": target["vid"], "data_type": target["data_type"], "anchor_event": anchor},
             "expressions": expressions,
             "upstreamColumns": sorted(f"{r['owner_id']}.{r['name']}" for r in self.upstream_columns(reached, own).collect() if not r["owner_id"].startswith("scope:")),
+            "valueColumns": self.value_columns(own, anchor),
             "predicates": sorted(({"sql": r["predicate_sql"], "role": r["role"], "kind": r["predicate_role"]} for r in self.filters(reached, anchor).collect()), key=lambda p: (p["kind"], p["sql"], p["role"])),
             "joins": sorted({f"{shown.get(r['a'], r['a'])} {r['role']} {shown.get(r['b'], r['b'])}" for r in self.joins(reached, anchor).collect()}),
             "relations": sorted({r["source_table_id"] for r in relations.values()}),

@@ -13,7 +13,8 @@ from tracewell.plans.schema import EDGE, VERTEX
 from tracewell.sources.store import MemoryStore, ParquetStore, run_in_parallel
 
 NULL = "__TRACEWELL_NULL__"
-OPTIONS = {"header": "false", "quote": '"', "escape": '"', "nullValue": NULL, "emptyValue": "", "multiLine": "true"}
+OPTIONS = {"header": "false", "quote": '"', "escape": '"', "nullValue": NULL}
+READ = OPTIONS | {"multiLine": "true", "emptyValue": ""}
 PARALLEL = 4
 
 
@@ -55,7 +56,7 @@ class BundleSession:
         """Write the bundle; returns the summary that is also the manifest."""
         counts = {}
         for name, df in self.memory.tables().items():
-            df.coalesce(1).write.mode("overwrite").options(**{k: v for k, v in OPTIONS.items() if k != "multiLine"}).csv(f"{self.path}/{folder(name)}")
+            df.coalesce(1).write.mode("overwrite").options(**OPTIONS).csv(f"{self.path}/{folder(name)}")
             counts[name] = read_table(self.spark, self.path, name).count()
         write_text(self.spark, f"{self.path}/schema.ngql", schema_text())
         summary = {"scripts": len(self.scripts), "events": len(self.memory.events), "results": len(self.memory.results), "vertices": sum(counts[n] for n in VERTEX), "edges": sum(counts[n] for n in EDGE), "tables": counts}
@@ -77,7 +78,7 @@ def checked(columns: list[str], name: str) -> None:
 def read_table(spark: SparkSession, path: str, name: str, partitions: int | None = None) -> DataFrame:
     shape = {**VERTEX, **EDGE}[name]
     checked(shape.names, name)
-    df = spark.read.schema(shape).options(**OPTIONS).csv(f"{path.rstrip('/')}/{folder(name)}")
+    df = spark.read.schema(shape).options(**READ).csv(f"{path.rstrip('/')}/{folder(name)}")
     return df.repartition(partitions) if partitions else df
 
 
