@@ -80,17 +80,19 @@ def anchors(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each anchor: its hash, the text's digest, the first owned window, and the owned windows' hashes.
+    """Rows of two kinds. A run of windows that one anchor owns: its hash, the text's digest, the first window, the
+    windows' hashes. A run known to repeat: any key, the digest, the first window, and n windows.
 
-    Of equal texts in one partition only two are sent: two prove that all windows repeat. So a group of copies gives an
-    anchor at most two rows a partition.
+    Windows are combined before the exchange: those that occur again within a piece of a few MB are known to repeat at
+    once, and only the first of them is sent. So a passage that many documents share gives its anchor a row a piece, and
+    of equal texts in one partition only two are looked at: two prove that all windows repeat.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, seen, twice = WordHashes(), set(), set()
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
-                out: list[list] = [[], [], [], []]
+                digests, per_text = [], []
                 for raw in texts(batch.column(0)):
                     words = raw.split()
                     if len(words) < length:
@@ -99,17 +101,40 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                     if digest in twice:
                         continue
                     (twice if digest in seen else seen).add(digest)
-                    h = np.fromiter(map(word.__getitem__, words), np.uint64, len(words))
-                    a, first, n, windows = anchors(h, length)
-                    data = windows.tobytes()
-                    out[0].append(a.view(np.int64))
-                    out[1] += [digest] * len(a)
-                    out[2].append(first)
-                    out[3] += [data[8 * i : 8 * (i + k)] for i, k in zip(first.tolist(), n.tolist())]
-                if out[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(out[3], pa.binary())], names=["anchor", "digest", "first", "windows"])
-
-    return docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(run, "anchor long, digest binary, first int, windows binary")
+                    digests.append(digest)
+                    per_text.append(anchors(np.fromiter(map(word.__getitem__, words), np.uint64, len(words)), length))
+                if digests:
+                    yield from _combined(digests, per_text)
+
+    return docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(run, "anchor long, digest binary, first int, n int, windows binary")
+
+
+def _combined(digests: list[bytes], per_text: list[tuple]) -> Iterator[pa.RecordBatch]:
+    hashes = np.concatenate([w for _, _, _, w in per_text])
+    counts = np.array([len(w) for _, _, _, w in per_text])
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    anchor = np.concatenate([np.repeat(a, n) for a, _, n, _ in per_text])
+    opens = np.concatenate([np.repeat(f, n) for _, f, n, _ in per_text])  # tells two runs of equal anchors apart
+    _, one, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    sent = np.zeros(len(hashes), bool)
+    sent[one] = True
+    known = times[back] > 1
+    names = ["anchor", "digest", "first", "n", "windows"]
+    for chosen, is_known in ((sent, False), (known, True)):
+        k = np.flatnonzero(chosen)
+        if not len(k):
+            continue
+        new = np.append(True, (np.diff(k) != 1) | (text[k][1:] != text[k][:-1]) | ((opens[k][1:] != opens[k][:-1]) if not is_known else False))
+        start = np.flatnonzero(new)
+        n = np.diff(np.append(start, len(k)))
+        at, owner = k[start], [digests[i] for i in text[k[start]].tolist()]
+        if is_known:
+            key, windows = np.array([int.from_bytes(d[:8], "little", signed=True) for d in owner], np.int64), [None] * len(n)
+        else:
+            data = hashes.tobytes()
+            key, windows = anchor[at].view(np.int64), [data[8 * i : 8 * (i + m)] for i, m in zip(at.tolist(), n.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner, pa.binary()), pa.array(place[at].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(windows, pa.binary())], names=names)
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -117,6 +142,12 @@ def repeats(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["anchor"]):
+            is_known = np.asarray(rows.column("windows").is_null())
+            if is_known.any():
+                yield from rows.filter(pa.array(is_known)).select(["digest", "first", "n"]).to_batches()
+                rows = rows.filter(pa.array(~is_known))
+            if not rows.num_rows:
+                continue
             cut = bounds(rows, ["anchor"])
             size = np.diff(cut)
             rows = rows.take(pa.array(np.flatnonzero(np.repeat(size > 1, size))))
