@@ -2,8 +2,9 @@
 
 Base spans come from four fixed patterns with their checks. Beside them, loose generators propose overlapping spans; each
 candidate gets format features (digits, groups, separators, checksums) and context features (words before it, the
-characters around it). Boosted depth-two trees, fitted on the driver on a bounded sample whose labels are the base
-checks, become one SQL expression; a threshold for each generator, calibrated on the part of the sample that the trees
+characters around it). Boosted trees, fitted on the driver on a bounded sample in which a candidate is right if a base
+span has its very ends, become one SQL expression: so spans that the base patterns lose, such as a phone number run
+together with a card number, are judged by how they look; a threshold for each generator, calibrated on the part of the sample that the trees
 did not see, selects the spans that are added. Executors run built-in expressions only.
 """
 
@@ -26,11 +27,14 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Loose generators: name, what the text must hold, pattern.
+#: Loose generators: name, what the text must hold, pattern. Their proposals overlap; most are no base span.
 GENERATORS = (
-    ("near_email", r"(?i)\bat\b|@", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[ ]?(?:@|\(at\)|\[at\]|\{at\})[ ]?[A-Za-z0-9-]{1,63}+(?:[ ]?(?:\.|\(dot\)|\[dot\]|\{dot\})[ ]?[A-Za-z0-9-]{1,63}+)++"),
-    ("near_number", r"[0-9]", r"(?<![A-Za-z0-9])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])"),
-    ("near_ip6", r":", r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}+:){2,7}+(?::?[0-9A-Fa-f]{1,4}+)++(?![A-Za-z0-9:])"),
+    ("email_like", r"(?i)\bat\b|@", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[ ]?(?:@|\(at\)|\[at\]|\{at\})[ ]?[A-Za-z0-9-]{1,63}+(?:[ ]?(?:\.|\(dot\)|\[dot\]|\{dot\})[ ]?[A-Za-z0-9-]{1,63}+)++"),
+    ("phone_like", r"[0-9]", r"(?<![A-Za-z0-9])\+?\(?[0-9]{1,4}\)?(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![A-Za-z0-9])"),
+    ("card_like", r"[0-9]", r"(?<![A-Za-z0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![A-Za-z0-9])"),
+    ("digits_like", r"[0-9]", r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){5,}+(?![A-Za-z0-9])"),
+    ("address_like", r"[0-9]", r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:[.:,][0-9]{1,3}){2,4}(?![A-Za-z0-9])"),
+    ("address6_like", r":", r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}+:){2,7}+(?::?[0-9A-Fa-f]{1,4}+)++(?![A-Za-z0-9:])"),
 )
 #: Context words, before or inside the 24 code points that come before a span.
 CUES = {"cue_phone": r"(?i)\b(?:phone|tel|call|mobile|fax|cell)", "cue_card": r"(?i)\b(?:card|visa|credit|iban|account|acct)", "cue_mail": r"(?i)\b(?:e-?mail|contact|write)", "cue_host": r"(?i)\b(?:ip|host|address|server)"}
@@ -138,7 +142,7 @@ def _split(rows: list[int], x: list[list[float]], g: list[float], h: list[float]
     return Tree(f, v, _split([i for i in rows if x[i][f] <= v], x, g, h, depth - 1, rate), _split([i for i in rows if x[i][f] > v], x, g, h, depth - 1, rate))
 
 
-def boost(x: list[list[float]], y: list[int], names: list[str], rounds: int = 20, depth: int = 2, rate: float = 0.3, precision: float = 0.95, seed: int = 3) -> Boosted:
+def boost(x: list[list[float]], y: list[int], names: list[str], rounds: int = 20, depth: int = 3, rate: float = 0.3, precision: float = 0.95, seed: int = 3) -> Boosted:
     """Newton boosting of the logistic loss; every third row is held out, and each generator's threshold is the lowest score at which its held-out candidates are right in `precision` of cases."""
     order = random.Random(seed).sample(range(len(y)), len(y))
     held, used = order[::3], [i for k, i in enumerate(order) if k % 3]
@@ -179,7 +183,7 @@ def train(docs: DataFrame, sample: int = 4_000, id_col: str = "doc_id", text_col
     n = docs.count()
     drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9)), F.lit(1 << 30)) < F.lit(min(1.0, sample / max(1, n))) * (1 << 30))
     rows = _prepared(drawn, id_col, text_col).withColumn("base", F.concat(*KINDS)).withColumn("candidate", F.explode(candidates(F.col("text"))))
-    rows = rows.select(F.col("candidate.kind").alias("kind"), features(F.col("text"), F.col("candidate")).alias("x"), F.exists("base", lambda b: overlaps(b, F.col("candidate"))).alias("y"), "doc_id", F.col("candidate.start").alias("at"))
+    rows = rows.select(F.col("candidate.kind").alias("kind"), features(F.col("text"), F.col("candidate")).alias("x"), F.exists("base", lambda b: (b["start"] == F.col("candidate.start")) & (b["end"] == F.col("candidate.end"))).alias("y"), "doc_id", F.col("candidate.start").alias("at"))
     got = sorted(rows.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["kind"], r["at"], r["x"]))
     return boost([list(r["x"]) for r in got], [int(r["y"]) for r in got], [r["kind"] for r in got], **boosting)
 
