@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.llm import decontam, lang_id, mixing, pii, simhash
 from tracewell.llm.common import stored, table
 
-MIN_LANG_SCORE = 0.5
+MIN_LANG_SCORE = 0.4
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, and how many."""
+    """Documents of which the mix takes words, and how many in `taken`, in place of any such column."""
+    docs = docs.drop("taken")
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "source"))
     taken = mixing.mix(keyed, id_col="_key").filter("taken > 0").select(F.col("doc_id").alias("_key"), "taken").distinct()
     return keyed.join(taken, "_key").select(*docs.columns, "taken")
