@@ -28,7 +28,7 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=0).drop("n_near")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,38 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_nearest_neighbours, op3_secret_scan, op4_simhash_dedup, op5_decontamination, op6_substring_dedup, op7_source_mix, op8_site_quality, op9_token_counts, op10_pii, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0
+), starts AS (
+  SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM words, (SELECT DISTINCT n FROM windows) k, unnest(range(1, len(w) - n + 2)) t(i) WHERE len(w) >= n
+), found AS (
+  SELECT row, s.n, i, id FROM starts s JOIN windows USING (n, win)
+), hit AS (
+  SELECT row, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + n)) t(p) GROUP BY row
+), ids AS (
+  SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, id FROM found) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (row) LEFT JOIN ids USING (row)""",
+    "op6_substring_dedup": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT row, i, array_to_string(w[i:i + 34], ' ') AS win FROM words, unnest(range(1, len(w) - 33)) t(i) WHERE len(w) >= 35
+), again AS (
+  SELECT row, i AS p, i FROM starts WHERE win IN (SELECT win FROM starts GROUP BY win HAVING count(*) > 1)
+), places AS (
+  SELECT row, p, w[p] AS word FROM words, unnest(range(1, len(w) + 1)) t(p)
+), covered AS (
+  SELECT row, p, word, max(i) OVER (PARTITION BY row ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS cover FROM places LEFT JOIN again USING (row, p)
+), kept AS (
+  SELECT row, count(cover) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE cover IS NULL) AS text FROM covered GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (row)""",
+}
