@@ -21,8 +21,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates (five-word shingles), the document with the smallest id."""
-    return simhash.one_of_each(docs, shingle=5)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest id."""
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,8 +60,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(prints: list[int], radius: int = 4) -> list[int]:
-    """The first row of each row's component."""
+def shingles(text: str | None, n: int = 5) -> frozenset:
+    w = re.findall(BLANK, lower(text or ""))
+    return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def similar(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def components(prints: list[int], radius: int = 4, sets: list[frozenset] | None = None, similarity: float = 0.8) -> list[int]:
+    """The first row of each row's component, by fingerprints and, where given, by shingle sets."""
     parent = list(range(len(prints)))
 
     def find(x: int) -> int:
@@ -72,7 +81,7 @@ def components(prints: list[int], radius: int = 4) -> list[int]:
 
     for a in range(len(prints)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= radius:
+            if (prints[a] ^ prints[b]).bit_count() <= radius or sets and similar(sets[a], sets[b]) >= similarity:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return [find(a) for a in range(len(prints))]

@@ -191,15 +191,41 @@ def test_blocks_of_a_hot_key_keep_all_links(spark):
         assert {r["root"] for r in roots} == {min(prints)} and len(roots) == len(prints) - 1
 
 
+def groups(texts: list[str | None]) -> int:
+    return len(set(brute.components([brute.fingerprint(t, 5) for t in texts], 4, [brute.shingles(t) for t in texts])))
+
+
 def test_one_of_each_group_stays(odd, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
-    prints = [brute.fingerprint(t) for _, t in texts_of(odd)]
-    assert kept.count() == len(set(brute.components(prints)))
+    assert kept.count() == groups([t for _, t in texts_of(odd)])
     assert Counter(r["doc_id"] for r in kept.collect())[8] == 1
     assert simhash.one_of_each(none).collect() == [] and simhash.near_duplicates(none).collect() == []
 
 
+def test_near_copies_of_every_similarity(spark):
+    import random
+
+    rng, rows = random.Random(4), []
+    for g in range(60):
+        text = words(200, 100 + g).split()
+        rows.append((10 * g, " ".join(text)))
+        for k in range(1, 4):
+            copy = list(text)
+            for at in rng.sample(range(200), k):
+                copy[at] = f"edit{g}x{k}x{at}"
+            rows.append((10 * g + k, " ".join(copy)))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10 * g for g in range(60)]
+
+
+def test_a_dense_group_needs_few_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(f), int(f), b"12345678" * simhash.TABLES) for f in np.unique(rng.integers(0, 1 << 62, 500))]
+    pairs = simhash.candidate_pairs(spark.createDataFrame(rows, "fp long, root long, keys binary"))
+    assert 0 < pairs.count() <= simhash.CLOSEST * len(rows)
+
+
 # --- 5 decontamination
 
 

@@ -16,8 +16,8 @@ def test_stages(spark, data, documents):
         seen[name] = (docs.count(), out.count())
         assert out.columns[: len(documents.columns)] == documents.columns and (k == 4 or out.columns == documents.columns)
         if name == "near_duplicates":
-            prints = [brute.fingerprint(r["text"], 5) for r in docs.collect()]
-            assert out.count() == len(set(brute.components(prints)))
+            texts = [r["text"] for r in docs.collect()]
+            assert out.count() == len(set(brute.components([brute.fingerprint(t, 5) for t in texts], 4, [brute.shingles(t) for t in texts])))
         if name == "decontamination":
             leaks = brute.leaks([r["text"] for r in docs.collect()], items)
             assert out.count() == sum(x[1] == 0 for x in leaks)

@@ -34,24 +34,32 @@ SAMPLE = 64
 _POLY = 0b110001110101  # generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the code
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of lower-cased (A-Z) words' shingles, repeats included; without words 0."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the lower-cased (A-Z) words' shingles, repeats included; a text of fewer words is one shingle."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: max(0, len(words) - shingle)]]
     hash_ = xxhash.xxh64_intdigest
-    h = np.array([hash_(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:])], dtype=">u8")
+    return np.array([hash_(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:])], dtype=np.uint64)
+
+
+def folded(h: np.ndarray) -> int:
+    """The SimHash of shingle hashes: bits set in more than half of them; 0 for none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 8192):
-        ones += np.unpackbits(h[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        ones += np.unpackbits(h[k : k + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return folded(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -212,23 +220,127 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns as they are, that stand for their component: the smallest id, then the smallest
-    text hash, null ids last; of rows alike in id and text any one."""
-    text_hash = F.xxhash64(text_col, F.lit(1))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("hash"))
+# --- links by shingle similarity, for what lies beyond the radius that Golay keys reach
+
+TABLES, MINIMA = 8, 3
+_MUL = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) ^ (k << 40)) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(TABLES * MINIMA)], dtype=np.uint64)
+#: Components in one key's group that are compared with each other at once.
+NEARBY, CLOSEST = 4096, 3
+
+
+def minimum_keys(h: np.ndarray) -> bytes:
+    """TABLES keys, each of MINIMA minima of the hashes under different multipliers; nothing for no hashes.
+
+    Two texts of similarity 0.8 share a given key with probability 0.51 and none of the eight with 0.003.
+    """
+    if not len(h):
+        return b""
+    low = np.array([((h * m) ^ ((h * m) >> np.uint64(29))).min() for m in _MUL], dtype=np.uint64).reshape(TABLES, MINIMA)
+    key = low[:, 0]
+    for k in range(1, MINIMA):
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + low[:, k]
+    return (key ^ np.arange(TABLES, dtype=np.uint64)).tobytes()
+
+
+def candidate_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes of different components that share a minimum key. nodes: fp, root, keys.
+
+    In a key's group each component meets its CLOSEST others by fingerprint (all others, if they are few), so pairs grow
+    with the group, not with its square; linked components merge and meet again in the next round.
+    """
+    every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda k: F.substring("keys", k * 8 + 1, F.lit(8))))
+    keyed = nodes.filter(F.length("keys") > 0).select(every.alias("key"), "fp", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["key"]):
+            cut = bounds(rows, ["key"])
+            fp, root = rows.column("fp").to_numpy(), rows.column("root").to_numpy()
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for lo, hi in zip(cut[:-1][np.diff(cut) > 1], cut[1:][np.diff(cut) > 1]):
+                _, first = np.unique(root[lo:hi], return_index=True)
+                if len(first) < 2:
+                    continue
+                f = np.sort(fp[lo:hi][first])
+                for k in range(0, len(f), NEARBY):
+                    part = f[k : k + NEARBY].view(np.uint64)
+                    for i in range(0, len(part), 256):
+                        d = np.bitwise_count(part[i : i + 256, None] ^ part[None]).astype(np.int16)
+                        d[np.arange(len(d)), np.arange(i, i + len(d))] = 999
+                        n = min(len(part) - 1, max(CLOSEST, 7 if len(part) <= 8 else 0))
+                        if n:
+                            near = np.argpartition(d, n - 1, axis=1)[:, :n]
+                            out.append((np.repeat(part[i : i + 256], n), part[near.ravel()]))
+            if out:
+                a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of `similarity` or more.
+
+    docs: _id, _hash, text; nodes: fp, and first (doc_id, hash) of the row that stands for it. Only those rows' texts are read.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first.doc_id").alias("_i"), F.col("first.hash").alias("_h"))
+    found = docs.join(stored(asked, "asked"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("fp", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
-                fp = np.array([fingerprint(t, shingle) for t in texts(batch.column(1))], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "hash", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts(batch.column(1))], pa.binary())], names=["fp", "shingles"])
 
-    rows = stored(keyed.mapInArrow(run, "doc_id long, hash long, fp long"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
-    distinct = stored(rows.groupBy("fp").agg(first), "distinct-fingerprints")
-    roots = components(links(distinct, radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
+    held = stored(found.mapInArrow(sets, "fp long, shingles binary").dropDuplicates(["fp"]), "shingle-sets")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                good.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+    """The rows of docs, all columns as they are, that stand for their group of near-duplicates: the smallest id, then the
+    smallest text hash, null ids last; of rows alike in id and text any one.
+
+    Groups are components over links of `radius` bits or fewer, all of which are found, and over pairs whose shingle sets
+    are alike to `similarity` or more. Such pairs may differ in ten bits and more, which no code of this length reaches;
+    they come from keys of hash minima and are verified on the texts (see README).
+    """
+    text_hash = F.xxhash64(text_col, F.lit(1))
+    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), text_hash.alias("_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", PIECE):
+                fp, keys = [], []
+                for t in texts(batch.column(1)):
+                    h = shingle_hashes(t, shingle)
+                    fp.append(folded(h))
+                    keys.append(minimum_keys(h))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "hash", "fp", "keys"])
+
+    rows = stored(base.mapInArrow(run, "doc_id long, hash long, fp long, keys binary"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "keys")).alias("first")
+    nodes = stored(rows.groupBy("fp").agg(first), "distinct-fingerprints")
+    edges = stored(links(nodes, radius), "near-links")
+    roots = components(edges)
+    rooted = lambda: nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    for _ in range(rounds):
+        pairs = stored(candidate_pairs(rooted().select("fp", "root", F.col("first.keys").alias("keys"))), "candidates")
+        if pairs.isEmpty():
+            break
+        more = stored(similar_links(base, nodes, pairs, shingle, similarity), "similar-links")
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        roots = components(edges)
+    stay = rooted().groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
     kept = docs.withColumn("_text_hash", text_hash).join(stored(stay, "stay"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
