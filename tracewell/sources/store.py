@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tracewell.operators import graph
 from tracewell.plans.lineage import Result, completed
 from tracewell.plans.schema import EDGE, EVENT, RESULT, VERTEX, VERTEX_OF
+from tracewell.sources.shared import stored
 
 TABLES = {**VERTEX, **EDGE}
 STAMP = "_seq"
@@ -39,7 +40,8 @@ def kept_frames(spark: SparkSession, result: Result) -> dict[str, DataFrame]:
         rows = rows.withColumn("qualifier", F.array_join("qualifier", ".")) if kind == "column" else rows
         out[name] = rows.select(*VERTEX[name].names).dropDuplicates(["vid"])
     out["table_has_column"] = graph.table_has_column(frames["column"], refs)
-    edges = graph.converge(frames["edge"], seen, context["task_id"], context["run_id"])
+    # Stored once: twelve kept tables filter it, and the walks behind the edges end here.
+    edges = stored(graph.converge(frames["edge"], seen, context["task_id"], context["run_id"]), "kept-edges")
     for name in EDGE:
         if name == "column_has_instance":
             out[name] = edges.filter(F.col("edge_name") == name).select("src", "dst", "rank", F.col("last_event_id").alias("event_id"), F.col("last_seen_time").alias("capture_time"), "role")
@@ -52,7 +54,7 @@ class MemoryStore:
     """Events (first write of an id wins) and results (last wins) in this process."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.events, self.results = spark, {}, {}
+        self.spark, self.events, self.results, self.kept = spark, {}, {}, {}
 
     def save_capture(self, event: dict) -> None:
         self.events.setdefault(event["event_id"], event)
@@ -82,7 +84,10 @@ class MemoryStore:
         return out
 
     def tables(self) -> dict[str, DataFrame]:
-        per = [kept_frames(self.spark, r) for r in self.list_results()]
+        for event_id, r in self.results.items():
+            if event_id not in self.kept or self.kept[event_id][0] is not r:
+                self.kept[event_id] = (r, kept_frames(self.spark, r))
+        per = [self.kept[r.event["event_id"]][1] for r in self.list_results()]
         out = {}
         for name, shape in TABLES.items():
             df = self.spark.createDataFrame([], shape).withColumn(STAMP, F.lit(0))
@@ -92,8 +97,8 @@ class MemoryStore:
         return out
 
     def clear(self) -> None:
-        self.events.clear()
-        self.results.clear()
+        for held in (self.events, self.results, self.kept):
+            held.clear()
 
 
 class ParquetStore:
