@@ -38,7 +38,9 @@ def alias_hints(sql: str) -> list[tuple[str, str]]:
 
 class Explainer:
     def __init__(self, tables: dict[str, DataFrame]):
-        self.t = tables
+        # Each question asks the same tables: they are kept once computed, and the flow edges are one table.
+        self.t = {name: df.persist() for name, df in tables.items()}
+        self._flow = reduce(DataFrame.unionByName, (self.edges(n).select("src", "dst", "role", "last_event_id", "last_seen_time", F.lit(n).alias("kind")) for n in graph.FLOWS)).persist()
 
     # --- look-ups
 
@@ -59,7 +61,8 @@ class Explainer:
         return e.filter(F.col("last_event_id") == anchor) if anchor and "last_event_id" in e.columns else e
 
     def flow(self, anchor: str | None = None) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self.edges(n, anchor).select("src", "dst", "role", "last_event_id", "last_seen_time", F.lit(n).alias("kind")) for n in graph.FLOWS))
+        """All flow edges, of the anchor event alone if one is given."""
+        return self._flow.filter(F.col("last_event_id") == anchor) if anchor else self._flow
 
     def instances(self, column_ids: DataFrame) -> DataFrame:
         """OUTPUT instances of the columns (`vid`), else all their instances."""
@@ -149,7 +152,7 @@ class Explainer:
             "upstreamColumns": sorted(f"{r['owner_id']}.{r['name']}" for r in self.upstream_columns(reached, own).collect() if not r["owner_id"].startswith("scope:")),
             "valueColumns": self.value_columns(own, anchor),
             "predicates": sorted(({"sql": r["predicate_sql"], "role": r["role"], "kind": r["predicate_role"]} for r in self.filters(reached, anchor).collect()), key=lambda p: (p["kind"], p["sql"], p["role"])),
-            "joins": sorted({f"{shown.get(r['a'], r['a'])} {r['role']} {shown.get(r['b'], r['b'])}" for r in self.joins(reached, anchor).collect()}),
+            "joins": sorted({f" {r['role']} ".join(sorted((shown.get(r["a"], r["a"]), shown.get(r["b"], r["b"])))) for r in self.joins(reached, anchor).collect()}),
             "relations": sorted({r["source_table_id"] for r in relations.values()}),
         }
 
