@@ -58,7 +58,7 @@ class BundleSession:
         for name, df in self.memory.tables().items():
             df.coalesce(1).write.mode("overwrite").options(**OPTIONS).csv(f"{self.path}/{folder(name)}")
             counts[name] = read_table(self.spark, self.path, name).count()
-        write_text(self.spark, f"{self.path}/schema.ngql", schema_text())
+        write_text(self.spark, f"{self.path}/schema.ddl", schema_text())
         summary = {"scripts": len(self.scripts), "events": len(self.memory.events), "results": len(self.memory.results), "vertices": sum(counts[n] for n in VERTEX), "edges": sum(counts[n] for n in EDGE), "tables": counts}
         write_text(self.spark, f"{self.path}/manifest.json", json.dumps(summary))
         return summary | {"path": self.path, "duration_ms": int((time.time() - self.began) * 1000)}
