@@ -29,6 +29,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the driver
     return spark.read.schema(df.schema).parquet(path)
 
 
