@@ -8,6 +8,7 @@ Pieces that hold an added token's string are encoded by the tokenizer as they ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,13 +34,32 @@ def proved_whole(path: str, suffix: str = "</w>") -> frozenset[str]:
     return frozenset(s for s, i in ends if [t.id for t in tokenizer.model.tokenize(s)] == [i])
 
 
+# Printable ASCII, and the tokenizer's own split pattern for it (after lower-casing).
+_PRINTABLE = re.compile(rb"[!-~]+")
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+class Parts(dict):
+    """Pre-token (in the tokenizer's byte alphabet) -> number of tokens: one if that is proved, else by the merges."""
+
+    def __init__(self, tokenizer, whole: frozenset[str]):
+        self.model, self.whole = tokenizer.model, whole
+
+    def __missing__(self, part: str) -> int:
+        n = 1 if part in self.whole else len(self.model.tokenize(part))
+        if len(self) < MEMO_ENTRIES and len(part) <= 64:
+            self[part] = n
+        return n
+
+
 class Counter(dict):
     """Piece of text without ASCII white space (UTF-8) -> number of tokens; a dict so that hits cost one look-up."""
 
     def __init__(self, path: str, whole: frozenset[str]):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole = Tokenizer.from_file(path), whole
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts = Parts(self.tokenizer, whole)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: bytes) -> int:
@@ -51,9 +71,11 @@ class Counter(dict):
     def count(self, piece: bytes) -> int:
         if any(a in piece for a in self.added):
             return len(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
-        normal = self.tokenizer.normalizer.normalize_str(piece.decode())
-        parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        return sum(1 if p in self.whole else len(self.tokenizer.model.tokenize(p)) for p in parts)
+        if _PRINTABLE.fullmatch(piece):
+            parts = _ASCII_PARTS.findall(piece.decode().lower())
+        else:
+            parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(piece.decode()))]
+        return sum(map(self.parts.__getitem__, parts))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
