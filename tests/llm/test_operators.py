@@ -226,6 +226,39 @@ def test_a_dense_group_needs_few_pairs(spark):
     assert 0 < pairs.count() <= simhash.CLOSEST * len(rows)
 
 
+def test_large_groups_are_compared_as_a_whole(spark):
+    import random
+
+    rng = random.Random(6)
+    base, rows = words(200, 7).split(), []
+    for k in range(600):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice((4, 5, 6, 7))):
+            copy[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    want = groups([t for _, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.one_of_each(df, block=100).count() == want
+
+
+def test_members_are_linked_as_by_all_pairs():
+    rng = np.random.default_rng(8)
+    for similarity in (0.3, 0.5, 0.8):
+        sets = [np.unique(rng.choice(60, rng.integers(1, 40))).astype(np.uint64) for _ in range(150)]
+        roots = rng.integers(0, 100, 150)
+        pairs = [(a, b) for a in range(150) for b in range(a) if roots[a] == roots[b] or len(np.intersect1d(sets[a], sets[b])) >= similarity * len(np.union1d(sets[a], sets[b]))]
+        same = [(a, b) for a in range(150) for b in range(a) if roots[a] == roots[b]]
+        assert united(150, simhash.alike(sets, roots, similarity) + same) == united(150, pairs)
+
+
+def united(n: int, pairs: list) -> list[int]:
+    of = list(range(n))
+    for a, b in pairs:
+        low, high = sorted((of[a], of[b]))
+        of = [low if x == high else x for x in of]
+    return of
+
+
 # --- 5 decontamination
 
 

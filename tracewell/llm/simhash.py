@@ -224,8 +224,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 TABLES, MINIMA = 8, 3
 _MUL = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) ^ (k << 40)) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(TABLES * MINIMA)], dtype=np.uint64)
-#: Components in one key's group that are compared with each other at once.
-NEARBY, CLOSEST = 4096, 3
+#: A key with more nodes than this is dealt out in blocks of so many, each pair of blocks a group of its own.
+NEARBY = 1024
+#: Members of a group whose links are looked for at once, before what they reach is set aside.
+CLOSEST = 3
 #: Fingerprint bits in which a pair of similarity 0.8 differs: 9.7 expected, spread 2.9; more than this is not verified.
 FAR = 22
 #: Bits of the map that picks texts to verify: 16 MB, whatever the table's size; a full map only lets more texts pass.
@@ -246,48 +248,81 @@ def minimum_keys(h: np.ndarray) -> bytes:
     return (key ^ np.arange(TABLES, dtype=np.uint64)).tobytes()
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes of different components that share a minimum key. nodes: fp, root, keys.
+def candidate_pairs(nodes: DataFrame, node: str = "fp", block: int = NEARBY) -> DataFrame:
+    """(group, node, root): members of groups that share a minimum key and hold two components or more. nodes: node, root, keys.
 
-    In a key's group each component meets its CLOSEST others by fingerprint (all others, if they are few), so pairs grow
-    with the group, not with its square; linked components merge and meet again in the next round.
+    Groups stand for their pairs, so rows grow with a group and not with its square (beyond a block: with its blocks);
+    every two members of a key are together in some group. Groups of equal members are one.
     """
-    every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda k: F.substring("keys", k * 8 + 1, F.lit(8))))
-    keyed = nodes.filter(F.length("keys") > 0).select(every.alias("key"), "fp", "root")
+    every = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda k: F.substring("keys", k * 8 + 1, F.lit(8)))))
+    keyed = nodes.filter(F.length("keys") > 0).select(every.alias("key"), F.col(node).alias("node"), "root")
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    hot = stored(hot.select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "simhash-hot")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    pair = F.when(F.col("parts") > 1, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")))).otherwise(F.array(F.lit(0)))
+    dealt = keyed.join(hot, "key", "left").withColumn("own", own).select("key", F.explode(pair).alias("pair"), "node", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, ["key"]):
-            cut = bounds(rows, ["key"])
-            fp, root = rows.column("fp").to_numpy(), rows.column("root").to_numpy()
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+        import xxhash
+
+        for rows in whole_groups(batches, ["key", "pair"]):
+            cut = bounds(rows, ["key", "pair"])
+            node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+            group, at = [], []
             for lo, hi in zip(cut[:-1][np.diff(cut) > 1], cut[1:][np.diff(cut) > 1]):
-                _, first = np.unique(root[lo:hi], return_index=True)
-                if len(first) < 2:
-                    continue
-                f = np.sort(fp[lo:hi][first])
-                for k in range(0, len(f), NEARBY):
-                    part = f[k : k + NEARBY].view(np.uint64)
-                    for i in range(0, len(part), 256):
-                        d = np.bitwise_count(part[i : i + 256, None] ^ part[None]).astype(np.int16)
-                        d[np.arange(len(d)), np.arange(i, i + len(d))] = 999
-                        n = min(len(part) - 1, max(CLOSEST, 7 if len(part) <= 8 else 0))
-                        if n:
-                            near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                            ok = np.take_along_axis(d, near, 1) <= FAR
-                            out.append((np.repeat(part[i : i + 256], ok.sum(1)), part[near[ok]]))
-            if out:
-                a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets (32 bits a shingle) have a Jaccard similarity of `similarity` or more.
-
-    docs: _id, _hash, text; nodes: fp, and first (doc_id, hash) of the row that stands for it. Only those rows' texts are read.
+                if (root[lo:hi] != root[lo]).any():
+                    order = lo + np.argsort(node[lo:hi])
+                    at.append(order)
+                    group.append(np.full(hi - lo, xxhash.xxh64_intdigest(node[order].tobytes()), np.uint64).view(np.int64))
+            if at:
+                at = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), pa.array(node[at]), pa.array(root[at])], names=["group", "node", "root"])
+
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "group long, node long, root long").distinct()
+
+
+def alike(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (row numbers) of the components that pairs of sets of `similarity` or more make, beyond those of equal roots.
+
+    Breadth-first over an inverted index: every two sets are compared or already in one component.
+    """
+    size = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True)) if size.min() >= similarity * size.max() else 0
+        return [(0, 1)] if both > 0 and both >= similarity * (size.sum() - both) else []
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    _, part = np.unique(roots, return_inverse=True)
+    left, live, out = np.ones(len(sets), bool), len(sets), []
+    while left.any():
+        front = np.flatnonzero(part == part[left.argmax()])
+        left[front] = False
+        while len(front) and left.any():
+            some, front = front[:CLOSEST], front[CLOSEST:]
+            if 2 * left.sum() < live:
+                keep, live = left[owner], left.sum()
+                flat, owner = flat[keep], owner[keep]
+            for x in some:
+                lo, n = np.searchsorted(flat, sets[x]), np.searchsorted(flat, sets[x], "right")
+                n -= lo
+                both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
+                hit = left & (both > 0) & (both >= similarity * (size[x] + size - both))
+                if hit.any():
+                    out += [(int(x), int(y)) for y in np.flatnonzero(hit)]
+                    more = np.flatnonzero(left & np.isin(part, part[hit]))
+                    left[more] = False
+                    front = np.concatenate((front, more))
+    return out
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the components that pairs within a group make whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    docs: _id, _hash, text; nodes: node, and first (doc_id, hash) of the row that stands for it; groups: group, node, root. Only
+    those rows' texts are read.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first.doc_id").alias("_i"), F.col("first.hash").alias("_h"))
+    asked = groups.select("node").distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("_i"), F.col("first.hash").alias("_h"))
     asked = stored(asked, "asked")
     # A map of fixed size over the asked rows goes to the scan, so other texts are not shuffled.
     place = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(MAP_BITS))
@@ -305,67 +340,71 @@ def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
             yield batch.filter(pa.array(hit)).select(["_id", "_hash", "text"])
 
     near = docs.select("_id", "_hash", "text", place("_id", "_hash").alias("_p")).mapInArrow(marked, "_id long, _hash long, text string")
-    found = near.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("fp", "text")
+    found = near.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, shingle).astype(np.uint32)).tobytes() for t in texts(batch.column(1))], pa.binary())], names=["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts(batch.column(1))], pa.binary())], names=["node", "shingles"])
 
-    held = stored(found.mapInArrow(sets, "fp long, shingles binary").dropDuplicates(["fp"]), "shingle-sets")
+    held = stored(found.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                good.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["group"], 500):
+            node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+            cut, of = bounds(rows, ["group"]), rows.column("shingles")
+            for lo, hi in zip(cut, cut[1:]):
+                found = alike([np.frombuffer(x, np.uint64) for x in of.slice(lo, hi - lo).to_pylist()], root[lo:hi], similarity) if hi - lo > 1 else []
+                if found:
+                    at = np.array(found) + lo
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
 
-    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    both = groups.join(held, "node").select("group", "node", "root", "shingles")
+    return both.repartition("group").sortWithinPartitions("group").mapInArrow(verify, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS, similarity: float = 0.8, block: int = NEARBY) -> DataFrame:
     """The rows of docs, all columns as they are, that stand for their group of near-duplicates: the smallest id, then the
     smallest text hash, null ids last; of rows alike in id and text any one.
 
     Groups are components over links of `radius` bits or fewer, all of which are found, and over pairs whose shingle sets
     are alike to `similarity` or more. Such pairs may differ in ten bits and more, which no code of this length reaches;
-    they come from keys of hash minima and are verified on the texts (see README).
+    they share a key of hash minima (all but three in a thousand at 0.8), and every two texts that share one are compared
+    by their shingle sets or already in one group (see README). Texts of equal sets are one node.
     """
     text_hash = F.xxhash64(text_col, F.lit(1))
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), text_hash.alias("_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
-                fp, keys = [], []
+                fp, keys, node = [], [], []
                 for t in texts(batch.column(1)):
                     h = shingle_hashes(t, shingle)
+                    once = np.unique(h)
                     fp.append(folded(h))
-                    keys.append(minimum_keys(h))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "hash", "fp", "keys"])
+                    keys.append(minimum_keys(once))
+                    node.append(xxhash.xxh64_intdigest(once.tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node)), pa.array(keys, pa.binary())], names=["doc_id", "hash", "fp", "node", "keys"])
 
-    rows = stored(base.mapInArrow(run, "doc_id long, hash long, fp long, keys binary"), "fingerprints")
+    rows = stored(base.mapInArrow(run, "doc_id long, hash long, fp long, node long, keys binary"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "keys")).alias("first")
-    nodes = stored(rows.groupBy("fp").agg(first), "distinct-fingerprints")
-    edges = stored(links(nodes, radius), "near-links")
+    nodes = stored(rows.groupBy("node").agg(first), "distinct-sets")
+    # A fingerprint's nodes hang on its smallest; the fingerprints' links are links of those. Texts of equal sets but other
+    # repeats may differ in fingerprint, so each fingerprint of a node counts.
+    of_fp = rows.select("fp", "node").distinct()
+    low = stored(of_fp.groupBy("fp").agg(F.min("node").alias("low")), "distinct-fingerprints")
+    near = links(low, radius).join(low.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b")
+    hung = of_fp.join(low, "fp").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    edges = stored(near.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(hung), "near-links")
     roots = components(edges)
-    rooted = lambda: nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    tried = None
-    for _ in range(rounds):
-        pairs = candidate_pairs(rooted().select("fp", "root", F.col("first.keys").alias("keys")))
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if pairs.isEmpty():
-            break
-        more = stored(similar_links(base, nodes, pairs, shingle, similarity), "similar-links")
-        if more.isEmpty():
-            break
-        edges = edges.unionByName(more)
-        roots = components(edges)
+    rooted = lambda: nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    groups = stored(candidate_pairs(rooted().select("node", "root", F.col("first.keys").alias("keys")), "node", block), "candidates")
+    if not groups.isEmpty():
+        more = stored(similar_links(base, nodes, groups, shingle, similarity), "similar-links")
+        roots = components(edges.unionByName(more))
     stay = rooted().groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
     kept = docs.withColumn("_text_hash", text_hash).join(stored(stay, "stay"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
