@@ -241,6 +241,15 @@ def test_large_groups_are_compared_as_a_whole(spark):
     assert simhash.one_of_each(df, block=100).count() == want
 
 
+def test_a_repeated_line_hides_no_near_copy(spark):
+    rows = []
+    for k in range(12):
+        text = words(154, 300 + k)
+        rows += [(10 * k, text), (10 * k + 1, text + (" " + words(12, 400 + k)) * 40)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10 * k for k in range(12)]
+
+
 def test_members_are_linked_as_by_all_pairs():
     rng = np.random.default_rng(8)
     for similarity in (0.3, 0.5, 0.8):

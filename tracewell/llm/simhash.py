@@ -228,8 +228,6 @@ _MUL = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) ^ (k << 40)) & 0xFFFFFFFFFFFF
 NEARBY = 1024
 #: Members of a group whose links are looked for at once, before what they reach is set aside.
 CLOSEST = 3
-#: Fingerprint bits in which a pair of similarity 0.8 differs: 9.7 expected, spread 2.9; more than this is not verified.
-FAR = 22
 #: Bits of the map that picks texts to verify: 16 MB, whatever the table's size; a full map only lets more texts pass.
 MAP_BITS = 1 << 27
 
