@@ -250,6 +250,12 @@ def test_a_repeated_line_hides_no_near_copy(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [10 * k for k in range(12)]
 
 
+def test_a_repeated_line_links_no_different_texts(spark):
+    line = (" " + words(13, 500)) * 40
+    rows = [(k, words(154, 600 + k) + line) for k in range(12)]
+    assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 12
+
+
 def test_members_are_linked_as_by_all_pairs():
     rng = np.random.default_rng(8)
     for similarity in (0.3, 0.5, 0.8):

@@ -368,7 +368,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are components over links of `radius` bits or fewer, all of which are found, and over pairs whose shingle sets
     are alike to `similarity` or more. Such pairs may differ in ten bits and more, which no code of this length reaches;
     they share a key of hash minima (all but three in a thousand at 0.8), and every two texts that share one are compared
-    by their shingle sets or already in one group (see README). Texts of equal sets are one node.
+    by their shingle sets or already in one group (see README). Texts of equal sets are one node. Fingerprints are those
+    of the sets: a line counts once however often it is repeated, else it would link texts that share nothing else.
     """
     text_hash = F.xxhash64(text_col, F.lit(1))
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), text_hash.alias("_hash"))
@@ -382,20 +383,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for t in texts(batch.column(1)):
                     h = shingle_hashes(t, shingle)
                     once = np.unique(h)
-                    fp.append(folded(h))
+                    fp.append(folded(once))
                     keys.append(minimum_keys(once))
                     node.append(xxhash.xxh64_intdigest(once.tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node)), pa.array(keys, pa.binary())], names=["doc_id", "hash", "fp", "node", "keys"])
 
     rows = stored(base.mapInArrow(run, "doc_id long, hash long, fp long, node long, keys binary"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "keys")).alias("first")
-    nodes = stored(rows.groupBy("node").agg(first), "distinct-sets")
-    # A fingerprint's nodes hang on its smallest; the fingerprints' links are links of those. Texts of equal sets but other
-    # repeats may differ in fingerprint, so each fingerprint of a node counts.
-    of_fp = rows.select("fp", "node").distinct()
-    low = stored(of_fp.groupBy("fp").agg(F.min("node").alias("low")), "distinct-fingerprints")
+    nodes = stored(rows.groupBy("node", "fp").agg(first), "distinct-sets")
+    # A fingerprint's nodes hang on its smallest; the fingerprints' links are links of those.
+    low = stored(nodes.groupBy("fp").agg(F.min("node").alias("low")), "distinct-fingerprints")
     near = links(low, radius).join(low.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b")
-    hung = of_fp.join(low, "fp").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    hung = nodes.join(low, "fp").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     edges = stored(near.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(hung), "near-links")
     roots = components(edges)
     rooted = lambda: nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
