@@ -61,6 +61,15 @@ def test_language_of_odd_rows(odd, none):
     assert {r["lang_pred"] for r in lang_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_counts_all_documents(documents):
+    features, learned = lang_id.Features(), documents.filter("crc32(cast(doc_id as string)) % 5 != 0 and lang is not null")
+    found = [f for _, t in texts_of(learned) if t and (f := features(t))]
+    d = np.zeros(1 << lang_id.BITS)
+    for at, _ in found:
+        d[at] += 1
+    assert np.allclose(lang_id.train(documents, sample_per_lang=5).idf, np.log((1 + len(found)) / (1 + d)) + 1)
+
+
 def test_languages_accept_whole_rows(odd):
     kept = lang_id.accepted(odd, min_score=0.0)
     assert kept.columns == odd.columns and 0 < kept.count() <= odd.count()

@@ -71,13 +71,15 @@ class Model:
         return self.langs[best], float(min(1.0, p[best] / p.sum()))
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], passes: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 11) -> Model:
-    """FTRL-proximal over shuffled rows (lang, buckets, tf); every fifth row is kept for the temperature."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], passes: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 11, frequencies: tuple[int, np.ndarray] | None = None) -> Model:
+    """FTRL-proximal over shuffled rows (lang, buckets, tf); every fifth row is kept for the temperature.
+
+    frequencies: how many texts there are, and in how many each bucket is; by default those of the rows.
+    """
     langs = sorted({r[0] for r in rows})
-    idf, d = np.ones(1 << BITS), np.zeros(1 << BITS)
-    for _, at, _ in rows:
-        d[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + d)) + 1.0
+    if frequencies is None:
+        frequencies = len(rows), np.bincount(np.concatenate([at for _, at, _ in rows] or [np.zeros(0, np.int32)]), minlength=1 << BITS)
+    idf = np.log((1 + frequencies[0]) / (1 + frequencies[1])) + 1.0
     order = np.random.default_rng(seed).permutation(len(rows))
     held, used = order[::5], np.array([i for k, i in enumerate(order) if k % 5]) if len(order) > 5 else order
     z, n = np.zeros((1 << BITS, len(langs))), np.zeros((1 << BITS, len(langs)))
@@ -120,12 +122,32 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], passes: int = 3, alpha:
     return model
 
 
+def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """How many texts (column text) have a letter, and in how many each bucket is. A fixed array comes from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, d = Features(), np.zeros((1 << BITS) + 1, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text", PIECE):
+                for text in batch.column(0).to_pylist():
+                    if f := features(text):
+                        d[f[0]] += 1
+                        d[-1] += 1
+        at = np.flatnonzero(d)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(d[at])], names=["bucket", "n"])
+
+    d = np.zeros((1 << BITS) + 1, np.int64)
+    for r in rows.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        d[r["bucket"]] = r["n"]
+    return int(d[-1]), d[:-1]
+
+
 def train(docs: DataFrame, sample_per_lang: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about `sample_per_lang` labelled rows of each language that are not held out.
 
     The sample is the documented bound: each language's rows pass with probability sample_per_lang / its row count, by
-    a hash of id and text, so reruns draw the same rows and identical rows count once. The per-language counts cover all
-    rows. Only hashed features of sampled rows come to the driver.
+    a hash of id and text, so reruns draw the same rows and identical rows count once. The per-language counts and the
+    document frequencies of TF-IDF cover all rows. Only hashed features of sampled rows come to the driver.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter((F.crc32("id") % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -146,7 +168,7 @@ def train(docs: DataFrame, sample_per_lang: int = 600, id_col: str = "doc_id", t
 
     got = drawn.select(F.xxhash64("id", "text").alias("hash"), "lang", "text").mapInArrow(run, "hash long, lang string, at binary, tf binary").collect()
     unique = {(r["lang"], r["hash"]): r for r in got}
-    return fit([(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["tf"], np.float32).astype(float)) for _, r in sorted(unique.items(), key=lambda x: x[0])])
+    return fit([(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["tf"], np.float32).astype(float)) for _, r in sorted(unique.items(), key=lambda x: x[0])], frequencies=document_frequencies(rows))
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training) -> DataFrame:
