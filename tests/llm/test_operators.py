@@ -104,6 +104,11 @@ def test_neighbours_reach_the_recall(spark, data):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+def test_the_window_grows_with_the_table():
+    assert neighbours.window_of(500) == neighbours.window_of(51_282) == 700
+    assert all(neighbours.window_of(n) / n >= 700 / 51_282 for n in (51_283, 200_000, 500_000, 10**9))
+
+
 def test_neighbours_of_odd_vectors(spark):
     rng = np.random.default_rng(1)
     points = {k: rng.normal(size=4).round(3).tolist() for k in range(1, 60)}
