@@ -496,6 +496,49 @@ def test_boosted_trees_find_what_the_patterns_lose(spark):
     assert "4078918989542222" not in out and out.endswith("there, order 123456")
 
 
+@pytest.fixture(scope="module")
+def pii_model(documents):
+    return pii.train(documents, sample=300)
+
+
+FUZZ = ["mail alice@example.com please", "(at) [at] a(at)b[dot]c", "7", "+1", "1.2", ":", "a:b:c 1::2 ::", "1" * 10_000, "x@" * 2000, "1 " * 3000, "12:" * 3000, "(1) " * 2000, "é@é.é 漢@字.com", "", " ", None]
+
+
+def test_pii_of_candidates_without_digits(spark, none, pii_model):
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(FUZZ)], "doc_id long, text string, email string, _row int")
+    plain = {k: brute.shown(brute.pii(t)) for k, t in enumerate(FUZZ)}
+    assert pii.train(df).trees and pii.train(none).trees
+    for model in (pii_model, pii.train(df)):
+        found = {r["doc_id"]: r["spans"] for r in pii.find_pii(df, model).collect()}
+        assert all(found[k] == want or found[k].startswith(want) for k, want in plain.items())
+        out = pii.redact(df, model)
+        assert out.columns == df.columns and {r["doc_id"]: r["text"] for r in out.collect()}[0] == "mail [EMAIL] please"
+    assert pii.redact(none, pii_model).collect() == []
+    long = spark.createDataFrame([(1, "1" * 1_000_000), (2, "a" * 1_000_000 + "@b.co")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_email"] for r in pii.find_pii(long, pii_model).collect()} == {1: 0, 2: 1}
+
+
+def test_pii_forms_that_no_base_pattern_knows(spark, pii_model):
+    mine = pii.snippets(400, seed=99)
+    df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(mine)], "doc_id long, text string")
+    added = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["added"]} for r in pii.find_spans(df, pii_model).select("doc_id", "added").collect()}
+    for kind in ("email_like", "phone_like", "address6_like"):
+        mark = [(kind, lo, hi) in added[k] for k, (_, lo, hi, x) in enumerate(mine) if x == kind]
+        assert sum(mark) >= 0.8 * len(mark)
+    clean = [not added[k] for k, (*_, x) in enumerate(mine) if not x]
+    assert sum(clean) >= 0.9 * len(clean)
+
+
+def test_redaction_replaces_what_is_found(spark, documents, pii_model):
+    texts = dict(texts_of(documents))
+    for r in pii.redact(documents, pii_model).select("doc_id", "text").join(pii.find_pii(documents, pii_model).select("doc_id", "spans"), "doc_id").collect():
+        out, at = "", 0
+        for a, b, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)):
+            if b > at:
+                out, at = out + (texts[r["doc_id"]][at:a] + f"[{kind.upper()}]" if a >= at else ""), b
+        assert r["text"] == out + texts[r["doc_id"]][at:]
+
+
 def test_redaction_keeps_columns(odd):
     out = pii.redact(odd, pii.Boosted())
     assert out.columns == odd.columns and out.count() == odd.count()

@@ -2,10 +2,12 @@
 
 Base spans come from four fixed patterns with their checks. Beside them, loose generators propose overlapping spans; each
 candidate gets format features (digits, groups, separators, checksums) and context features (words before it, the
-characters around it). Boosted trees, fitted on the driver on a bounded sample in which a candidate is right if a base
-span has its very ends, become one SQL expression: so spans that the base patterns lose, such as a phone number run
-together with a card number, are judged by how they look; a threshold for each generator, calibrated on the part of the sample that the trees
-did not see, selects the spans that are added. Executors run built-in expressions only.
+characters around it). Boosted trees become one SQL expression; they are fitted on the driver on two bounded sets: the
+candidates of sampled documents, right where a base span has their very ends, and those of generated snippets, which
+hold forms that no base pattern knows (an address spelled with "(at)" and "dot", an IPv6 address, a phone number without
+a plus) beside look-alikes (times, dates, versions, ratios, order numbers), right where the snippet put personal data.
+So spans that the base patterns lose are judged by how they look. A threshold for each generator, calibrated on rows
+that the trees did not see, selects the spans that are added. Executors run built-in expressions only.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ GENERATORS = (
     ("card_like", r"[0-9]", r"(?<![A-Za-z0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![A-Za-z0-9])"),
     ("digits_like", r"[0-9]", r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){5,}+(?![A-Za-z0-9])"),
     ("address_like", r"[0-9]", r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:[.:,][0-9]{1,3}){2,4}(?![A-Za-z0-9])"),
-    ("address6_like", r":", r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}+:){2,7}+(?::?[0-9A-Fa-f]{1,4}+)++(?![A-Za-z0-9:])"),
+    ("address6_like", r":", r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}+:){1,7}+(?::?[0-9A-Fa-f]{1,4}+)++(?![A-Za-z0-9:])"),
 )
 #: Context words, before or inside the 24 code points that come before a span.
 CUES = {"cue_phone": r"(?i)\b(?:phone|tel|call|mobile|fax|cell)", "cue_card": r"(?i)\b(?:card|visa|credit|iban|account|acct)", "cue_mail": r"(?i)\b(?:e-?mail|contact|write)", "cue_host": r"(?i)\b(?:ip|host|address|server)"}
@@ -58,12 +60,12 @@ def digits_of(s: Column) -> Column:
 
 
 def luhn(digits: Column) -> Column:
-    """The checksum of a string of digits holds."""
+    """The checksum of a string of digits holds; false for none and, as substring walks the string, for more than 40."""
     back = F.reverse(digits)
-    digit = lambda i: F.substring(back, i, F.lit(1)).cast("int")
+    digit = lambda i: F.substring(back, i, F.lit(1)).try_cast("int")  # noqa: E731  no digit at all gives '' and so null
     twice = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
     total = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(digits))), F.lit(0), lambda s, i: s + F.coalesce(F.when(i % 2 == 0, twice(digit(i))).otherwise(digit(i)), F.lit(0)))
-    return (total % 10 == 0) & (F.length(digits) > 0)
+    return F.when(F.length(digits).between(1, 40), total % 10 == 0).otherwise(F.lit(False))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -168,6 +170,46 @@ def boost(x: list[list[float]], y: list[int], names: list[str], rounds: int = 20
     return model
 
 
+# Fixed values of the generated snippets.
+_LOCAL = ("anna.berg", "j_smith", "maria", "info", "k.lee+news", "tom99", "sales-eu", "pierre.dupont", "office", "r2d2")
+_HOST = ("example", "mail", "corp", "uni-bonn", "acme", "blog", "post24", "web")
+_TLD = ("com", "org", "net", "de", "fr", "es", "co.uk", "io")
+_CUE_MAIL = ("mail me at ", "contact: ", "e-mail ", "write to ", "", "reach us: ", "author ")
+_CUE_PHONE = ("call ", "tel. ", "phone: ", "mobile ", "fax ", "", "my number is ")
+_CUE_HOST = ("server ", "host ", "from address ", "ip ", "", "ping ", "peer ")
+_TAIL = (" now.", " please", ", thanks", "", ". The rest follows", " and more", "\n")
+
+
+def snippets(n: int = 1_200, seed: int = 17) -> list[tuple[str, int, int, str]]:
+    """(text, start, end, generator): generated sentences; generator is empty and the ends are 0 where nothing personal is in them."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda lo, hi: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(lo, hi)))
+
+    def mail() -> str:
+        at, dot = rng.choice((("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), ("(at)", "."), ("{at}", "{dot}"), (" [at] ", " [dot] ")))
+        return rng.choice(_LOCAL) + at + rng.choice(_HOST) + dot + rng.choice(_TLD).replace(".", dot)
+
+    def phone() -> str:
+        a, b, c, sep = rng.randint(200, 989), rng.randint(200, 999), digits(4), rng.choice("-. ")
+        return rng.choice((f"({a}) {b}-{c}", f"{a}{sep}{b}{sep}{c}", f"0{a} {b} {c}", f"1-{a}-{b}-{c}"))
+
+    def address6() -> str:
+        return ":".join(hexes(1, 4) for _ in range(8)) if rng.random() < 0.6 else ":".join(("fe80", "", hexes(1, 4), hexes(2, 4), hexes(2, 4), hexes(1, 4)))
+
+    def nothing() -> str:
+        h, m, s = rng.randint(0, 23), digits(2), digits(2)
+        return rng.choice((f"{h}:{m}:{s}", f"{rng.randint(1, 9)}:{rng.randint(1, 9)}:{rng.randint(1, 9)}", f"20{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}", f"order {digits(8)}", f"page {digits(3)} of {digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"we met at noon. so {digits(2)} {digits(3)}", f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", f"{rng.randint(1, 9)},{digits(3)},{digits(3)}", f"id {digits(12)}", f"10.{digits(2)}.{digits(4)}", f"{digits(4)} {digits(4)}"))
+
+    out = []
+    for k in range(n):
+        kind, cues, make = (("email_like", _CUE_MAIL, mail), ("phone_like", _CUE_PHONE, phone), ("address6_like", _CUE_HOST, address6), ("", (*_CUE_MAIL, *_CUE_PHONE, *_CUE_HOST, "at ", "on ", "see "), nothing))[k % 4]
+        before = f"{rng.choice(('The', 'A', 'Und', 'Le', 'Para', 'Please'))} {rng.choice(_HOST)} {rng.choice(cues)}"
+        what = make()
+        out.append((before + what + rng.choice(_TAIL), len(before) if kind else 0, len(before) + len(what) if kind else 0, kind))
+    return out
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -175,31 +217,45 @@ def overlaps(a: Column, b: Column) -> Column:
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return rows.withColumns(base_spans(F.col("text")))
+    return rows.withColumns(base_spans(F.col("text"))).withColumn("base", F.concat(*KINDS))
+
 
+def train(docs: DataFrame, sample: int = 4_000, most: int = 40_000, id_col: str = "doc_id", text_col: str = "text", **boosting) -> Boosted:
+    """Fit on the candidates of about `sample` documents, `most` of them at most, drawn by hashes, and of the snippets.
 
-def train(docs: DataFrame, sample: int = 4_000, id_col: str = "doc_id", text_col: str = "text", **boosting) -> Boosted:
-    """Fit on the candidates of about `sample` documents (the documented bound), drawn by a hash of id and text."""
+    Both numbers are documented bounds: however long or often repeated a drawn document is, its distinct candidates count
+    once and no more than `most` come to the driver.
+    """
     n = docs.count()
     drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(9)), F.lit(1 << 30)) < F.lit(min(1.0, sample / max(1, n))) * (1 << 30))
-    rows = _prepared(drawn, id_col, text_col).withColumn("base", F.concat(*KINDS)).withColumn("candidate", F.explode(candidates(F.col("text"))))
-    rows = rows.select(F.col("candidate.kind").alias("kind"), features(F.col("text"), F.col("candidate")).alias("x"), F.exists("base", lambda b: (b["start"] == F.col("candidate.start")) & (b["end"] == F.col("candidate.end"))).alias("y"), "doc_id", F.col("candidate.start").alias("at"))
-    got = sorted(rows.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["kind"], r["at"], r["x"]))
-    return boost([list(r["x"]) for r in got], [int(r["y"]) for r in got], [r["kind"] for r in got], **boosting)
-
-
-def find_spans(docs: DataFrame, model: Boosted | None = None, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
-    """doc_id, text, the arrays email, ip, card, phone (base spans), and added: what the model selects beside them."""
-    model = model or train(docs, id_col=id_col, text_col=text_col, **training)
-    rows = _prepared(docs, id_col, text_col)
+    c = F.col("candidate")
+    rows = _prepared(drawn, id_col, text_col).withColumn("candidate", F.explode(candidates(F.col("text"))))
+    rows = rows.select(c["kind"].alias("kind"), features(F.col("text"), c).alias("x"), F.exists("base", lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"])).alias("y"), "doc_id", c["start"].alias("at"))
+    rows = rows.distinct().withColumn("order", F.xxhash64("kind", "doc_id", "at", "x")).orderBy("order", "kind", "doc_id", "at", "x", "y").limit(most)
+    made = docs.sparkSession.createDataFrame(snippets(), "text string, lo int, hi int, right string")
+    made = made.select("*", F.explode(candidates(F.col("text"))).alias("candidate"))
+    made = made.select(c["kind"].alias("kind"), features(F.col("text"), c).alias("x"), ((c["start"] == F.col("lo")) & (c["end"] == F.col("hi")) & (c["kind"] == F.col("right"))).alias("y"))
+    got = sorted((r["kind"], list(r["x"]), int(r["y"])) for part in (rows, made) for r in part.collect())
+    return boost([x for _, x, _ in got], [y for _, _, y in got], [k for k, _, _ in got], **boosting)
+
+
+def _annotated(rows: DataFrame, model: Boosted) -> DataFrame:
+    """rows (text and the base spans) with `added`: the candidates that the model selects and that overlap no base span."""
     if not model.thresholds:
         return rows.withColumn("added", F.array().cast(f"array<{SPAN}>"))
-    rows = rows.withColumn("base", F.concat(*KINDS)).withColumn("candidate", candidates(F.col("text")))
+    rows = rows.withColumn("candidate", candidates(F.col("text")))
     least = F.create_map(*(F.lit(v) for k, t in sorted(model.thresholds.items()) for v in (k, float(t) - 1e-9)))
     free = F.filter("candidate", lambda c: ~F.exists("base", lambda b: overlaps(b, c)) & F.array_contains(F.array(*map(F.lit, sorted(model.thresholds))), c["kind"]))
+    # The features stand in a struct, so that every tree reads them and none computes them again.
     rows = rows.withColumn("free", free).withColumn("scored", F.transform("free", lambda c: F.struct(c.alias("c"), features(F.col("text"), c).alias("x"))))
     chosen = F.filter("scored", lambda s: model.sql(s["x"]) >= F.element_at(least, s["c"]["kind"]))
-    return rows.withColumn("added", F.array_sort(F.transform(chosen, lambda s: s["c"]))).select("doc_id", "text", *KINDS, "added")
+    return rows.withColumn("added", F.array_sort(F.transform(chosen, lambda s: s["c"]))).drop("candidate", "free", "scored")
+
+
+def find_spans(docs: DataFrame, model: Boosted | None = None, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
+    """doc_id, text, the arrays email, ip, card, phone (base spans), base (all four), and added: what the model selects beside them."""
+    model = model or train(docs, id_col=id_col, text_col=text_col, **training)
+    return _annotated(_prepared(docs, id_col, text_col), model)
 
 
 def written(spans: Column) -> Column:
@@ -211,29 +267,26 @@ def find_pii(docs: DataFrame, model: Boosted | None = None, id_col: str = "doc_i
 
     Null and empty texts have no spans (the digest is that of the empty string). Null ids and repeated rows pass through,
     a row each; an empty table gives an empty result; other columns are not read. Base spans of different kinds may
-    overlap; added spans overlap no base span. No shuffle.
+    overlap; added spans overlap no base span. No shuffle. The generators' parts are bounded (64 characters of a local
+    part, 63 of a label, 7 leading groups of an IPv6 address): longer ones are proposed in part or not at all, which
+    concerns added spans only.
     """
-    rows = find_spans(docs, model, id_col, text_col, **training).withColumn("base", F.concat(*KINDS))
+    rows = find_spans(docs, model, id_col, text_col, **training)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
 
 
 def redact(docs: DataFrame, model: Boosted | None = None, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
-    """docs with every span, base and added, replaced by its kind in brackets; overlapping spans give one replacement.
+    """docs with every span that find_pii lists replaced by its kind in brackets; overlapping spans give one replacement.
 
-    All columns of docs stay, in order; a null text stays null.
+    All columns of docs stay, in order, whatever their names; null, empty and blank texts stay as they are. Null ids and
+    repeated rows pass through, a row each; an empty table gives an empty result.
     """
     model = model or train(docs, id_col=id_col, text_col=text_col, **training)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(row, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = rows.select("_row", F.coalesce("_text", F.lit("")).alias("text")).withColumns(base_spans(F.col("text"))).withColumn("base", F.concat(*KINDS))
-    added = F.array().cast(f"array<{SPAN}>")
-    if model.thresholds:
-        found = found.withColumn("candidate", candidates(F.col("text")))
-        least = F.create_map(*(F.lit(v) for k, t in sorted(model.thresholds.items()) for v in (k, float(t) - 1e-9)))
-        added = F.filter("candidate", lambda c: F.coalesce(model.sql(features(F.col("text"), c)) >= F.try_element_at(least, c["kind"]), F.lit(False)))
-    by_start = F.array_sort(F.transform(F.concat(F.col("base"), added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.withColumn("spans", by_start)
+    rows = docs.select(row, F.col(text_col).alias("text")).select("_row", F.coalesce("text", F.lit("")).alias("text")).withColumns(base_spans(F.col("text"))).withColumn("base", F.concat(*KINDS))
+    by_start = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = _annotated(rows, model).withColumn("spans", by_start)
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out")))
     folded = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     new = F.when(F.col("_row")[text_col].isNotNull(), F.when(F.size("spans") > 0, folded).otherwise(F.col("text")))
