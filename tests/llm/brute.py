@@ -66,11 +66,11 @@ def shingles(text: str | None, n: int = 5) -> frozenset:
 
 
 def similar(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+    return 1.0 if a == b else len(a & b) / len(a | b)
 
 
 def components(prints: list[int], radius: int = 4, sets: list[frozenset] | None = None, similarity: float = 0.8) -> list[int]:
-    """The first row of each row's component, by fingerprints and, where given, by shingle sets."""
+    """The first row of each row's component, by fingerprints or, where given, by shingle sets."""
     parent = list(range(len(prints)))
 
     def find(x: int) -> int:
@@ -81,7 +81,7 @@ def components(prints: list[int], radius: int = 4, sets: list[frozenset] | None
 
     for a in range(len(prints)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= radius or sets and similar(sets[a], sets[b]) >= similarity:
+            if similar(sets[a], sets[b]) >= similarity if sets else (prints[a] ^ prints[b]).bit_count() <= radius:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return [find(a) for a in range(len(prints))]

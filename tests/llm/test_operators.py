@@ -206,7 +206,7 @@ def test_blocks_of_a_hot_key_keep_all_links(spark):
 
 
 def groups(texts: list[str | None]) -> int:
-    return len(set(brute.components([brute.fingerprint(t, 5) for t in texts], 4, [brute.shingles(t) for t in texts])))
+    return len(set(brute.components([0] * len(texts), sets=[brute.shingles(t) for t in texts])))
 
 
 def test_one_of_each_group_stays(odd, none):
@@ -233,11 +233,39 @@ def test_near_copies_of_every_similarity(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [10 * g for g in range(60)]
 
 
-def test_a_dense_group_needs_few_pairs(spark):
+def test_a_dense_group_is_one_group(spark):
     rng = np.random.default_rng(3)
     rows = [(int(f), int(f), b"12345678" * simhash.TABLES) for f in np.unique(rng.integers(0, 1 << 62, 500))]
-    pairs = simhash.candidate_pairs(spark.createDataFrame(rows, "fp long, root long, keys binary"))
-    assert 0 < pairs.count() <= simhash.CLOSEST * len(rows)
+    found = simhash.candidate_groups(spark.createDataFrame(rows, "node long, root long, keys binary"))
+    assert sorted(r["node"] for r in found.collect()) == [r[0] for r in rows]
+
+
+def test_templated_texts_lose_no_link(spark):
+    import random
+
+    rng, shared, rows = random.Random(12), words(200, 900), []
+    for k in range(300):
+        own = words(28, 1000 + k)
+        copy = (shared + " " + own).split()
+        for at in rng.sample(range(len(copy)), 3):
+            copy[at] = f"edit{k}x{at}"
+        rows += [(2 * k, shared + " " + own), (2 * k + 1, " ".join(copy))]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.count() == groups([t for _, t in rows])
+
+
+def test_close_fingerprints_of_other_texts_stay_apart(spark, monkeypatch):
+    rows = [(k, words(60, 700 + k)) for k in range(20)]
+    monkeypatch.setattr(simhash, "folded", lambda h: 7)
+    assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
+
+
+def test_near_copies_under_clashing_names_and_repeated_rows(spark):
+    text = words(80, 20)
+    rows = [(1, text, "a"), (1, text, "b"), (2, text + " tail", "c"), (None, "other words", "d"), (None, "other words", "e"), (None, None, "f")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, "k") for r in rows], "_id long, text string, h string, i int, row int, node int, _hash int, _text_hash int, keys string")
+    kept = simhash.one_of_each(df, id_col="_id")
+    assert kept.columns == df.columns and sorted((r["_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "other words"), (1, text)]
 
 
 def test_large_groups_are_compared_as_a_whole(spark):

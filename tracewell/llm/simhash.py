@@ -215,7 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     roots = components(links(distinct, radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # The minima are stored, so that both sides of the join are plain exchanges and Spark can split a giant component.
+    rooted = stored(rooted, "rooted-fingerprints")
+    low = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
     of_fp = rooted.join(low, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -246,14 +248,17 @@ def minimum_keys(h: np.ndarray) -> bytes:
     return (key ^ np.arange(TABLES, dtype=np.uint64)).tobytes()
 
 
-def candidate_pairs(nodes: DataFrame, node: str = "fp", block: int = NEARBY) -> DataFrame:
-    """(group, node, root): members of groups that share a minimum key and hold two components or more. nodes: node, root, keys.
+def candidate_groups(nodes: DataFrame, block: int = NEARBY) -> DataFrame:
+    """(group, node): members of groups that are to be compared. nodes: node, root, keys.
 
-    Groups stand for their pairs, so rows grow with a group and not with its square (beyond a block: with its blocks);
-    every two members of a key are together in some group. Groups of equal members are one.
+    Nodes of one root (fingerprints linked by Golay keys) are a group, and so are those that share a minimum key if they
+    have two roots or more. Groups stand for their pairs, so rows grow with a group and not with its square (beyond a
+    block: with its blocks); every two members of a key are together in some group. Groups of equal members are one.
     """
-    every = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda k: F.substring("keys", k * 8 + 1, F.lit(8)))))
-    keyed = nodes.filter(F.length("keys") > 0).select(every.alias("key"), F.col(node).alias("node"), "root")
+    minima = F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda k: F.substring("keys", k * 8 + 1, F.lit(8)))
+    linked = F.array(F.unhex(F.concat(F.lit("47"), F.lpad(F.hex("root"), 16, "0"))))  # nine bytes, minima have eight
+    every = F.explode(F.array_distinct(F.when(F.length("keys") > 0, F.concat(linked, minima)).otherwise(linked)))
+    keyed = nodes.select(every.alias("key"), "node", "root")
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     hot = stored(hot.select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "simhash-hot")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
@@ -265,18 +270,18 @@ def candidate_pairs(nodes: DataFrame, node: str = "fp", block: int = NEARBY) ->
 
         for rows in whole_groups(batches, ["key", "pair"]):
             cut = bounds(rows, ["key", "pair"])
-            node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+            size = np.diff(cut)
+            node, root, key = rows.column("node").to_numpy(), rows.column("root").to_numpy(), rows.column("key")
             group, at = [], []
-            for lo, hi in zip(cut[:-1][np.diff(cut) > 1], cut[1:][np.diff(cut) > 1]):
-                if (root[lo:hi] != root[lo]).any():
+            for lo, hi in zip(cut[:-1][size > 1], cut[1:][size > 1]):
+                if (root[lo:hi] != root[lo]).any() or len(key[int(lo)].as_py()) == 9:
                     order = lo + np.argsort(node[lo:hi])
                     at.append(order)
                     group.append(np.full(hi - lo, xxhash.xxh64_intdigest(node[order].tobytes()), np.uint64).view(np.int64))
             if at:
-                at = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), pa.array(node[at]), pa.array(root[at])], names=["group", "node", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), pa.array(node[np.concatenate(at)])], names=["group", "node"])
 
-    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "group long, node long, root long").distinct()
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "group long, node long").distinct()
 
 
 def alike(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -314,50 +319,68 @@ def alike(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[
     return out
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of the components that pairs within a group make whose shingle sets have a Jaccard similarity of `similarity` or more.
+def wrapped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(i, h, row): id, text hash, and the whole row as one struct, so that no column name of docs can clash."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(f"`{text_col}`", F.lit(1)).alias("h"), row.alias("row"))
 
-    docs: _id, _hash, text; nodes: node, and first (doc_id, hash) of the row that stands for it; groups: group, node, root. Only
-    those rows' texts are read.
-    """
-    asked = groups.select("node").distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("_i"), F.col("first.hash").alias("_h"))
-    asked = stored(asked, "asked")
-    # A map of fixed size over the asked rows goes to the scan, so other texts are not shuffled.
-    place = lambda i, h: F.pmod(F.xxhash64(i, h), F.lit(MAP_BITS))
-    bit = asked.select(place("_i", "_h").alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-    words = bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    at, bits = np.array([r["word"] for r in words], np.int64), np.array([r["bits"] for r in words], np.int64).view(np.uint64)
+
+def at_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """rows joined with keys on (i, h), null ids too. The keys are the hashed side: rows with texts are never sorted."""
+    keys = keys.withColumnRenamed("i", "_i").withColumnRenamed("h", "_h").hint("shuffle_hash")
+    return rows.join(keys, rows["i"].eqNullSafe(keys["_i"]) & (rows["h"] == keys["_h"]), how).drop("_i", "_h")
+
+
+def marked(texts_: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of texts_ (i, h, text) that may be among asked (i, h): a map of MAP_BITS bits goes to the scan, so that
+    other texts are not shuffled. The map is of one size whatever the table's; it comes to the driver as Arrow."""
+    place = F.pmod(F.xxhash64("i", "h"), F.lit(MAP_BITS))
+    bit = asked.select(place.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+    words = bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    if not words.num_rows:
+        return texts_.select("i", "h", "text").filter(F.lit(False))
+    at, bits = words.column("word").to_numpy(), words.column("bits").to_numpy().view(np.uint64)
     order = np.argsort(at)
     at, bits = at[order], bits[order]
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             k = np.minimum(np.searchsorted(at, p >> 6), len(at) - 1)
             hit = (at[k] == p >> 6) & ((bits[k] >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            yield batch.filter(pa.array(hit)).select(["_id", "_hash", "text"])
+            yield batch.filter(pa.array(hit)).select(["i", "h", "text"])
+
+    return texts_.select("i", "h", "text", place.alias("p")).mapInArrow(run, "i long, h long, text string")
+
 
-    near = docs.select("_id", "_hash", "text", place("_id", "_hash").alias("_p")).mapInArrow(marked, "_id long, _hash long, text string")
-    found = near.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("node", "text")
+def similar_links(texts_: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, similarity: float, repeated: bool) -> DataFrame:
+    """Links (a, b) of the components that pairs within a group make whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    texts_: i, h, text; nodes: node, i, h of the row that stands for it; groups: group, node; repeated: whether rows alike
+    in id and text exist. Only those rows' texts are read.
+    """
+    asked = stored(groups.select("node").distinct().join(nodes, "node").select("node", "i", "h"), "asked")
+    found = at_key(marked(texts_, asked), asked, "inner").select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts(batch.column(1))], pa.binary())], names=["node", "shingles"])
 
-    held = stored(found.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    held = found.mapInArrow(sets, "node long, shingles binary")
+    held = stored(held.dropDuplicates(["node"]) if repeated else held, "shingle-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["group"], 500):
-            node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+            node = rows.column("node").to_numpy()
             cut, of = bounds(rows, ["group"]), rows.column("shingles")
             for lo, hi in zip(cut, cut[1:]):
-                found = alike([np.frombuffer(x, np.uint64) for x in of.slice(lo, hi - lo).to_pylist()], root[lo:hi], similarity) if hi - lo > 1 else []
+                found = alike([np.frombuffer(x, np.uint64) for x in of.slice(lo, hi - lo).to_pylist()], np.arange(hi - lo), similarity) if hi - lo > 1 else []
                 if found:
                     at = np.array(found) + lo
                     yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
 
-    both = groups.join(held, "node").select("group", "node", "root", "shingles")
+    both = held.join(groups.hint("shuffle_hash"), "node").select("group", "node", "shingles")
     return both.repartition("group").sortWithinPartitions("group").mapInArrow(verify, "a long, b long")
 
 
@@ -365,14 +388,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, all columns as they are, that stand for their group of near-duplicates: the smallest id, then the
     smallest text hash, null ids last; of rows alike in id and text any one.
 
-    Groups are components over links of `radius` bits or fewer, all of which are found, and over pairs whose shingle sets
-    are alike to `similarity` or more. Such pairs may differ in ten bits and more, which no code of this length reaches;
-    they share a key of hash minima (all but three in a thousand at 0.8), and every two texts that share one are compared
-    by their shingle sets or already in one group (see README). Texts of equal sets are one node. Fingerprints are those
-    of the sets: a line counts once however often it is repeated, else it would link texts that share nothing else.
+    Groups are components over pairs of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
+    Texts that Golay keys link within `radius` bits are compared; so are those that share a key of hash minima, as pairs
+    of 0.8 may differ in ten bits and more, which no code of this length reaches (all but three in a thousand share one;
+    see README). Every two texts of such a group, of any size, are compared by their sets or already in one component.
+    Texts of equal sets are one node, so null, empty and blank texts are one group. Fingerprints are those of the sets: a
+    line counts once however often it is repeated. An empty table gives an empty result.
     """
-    text_hash = F.xxhash64(text_col, F.lit(1))
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), text_hash.alias("_hash"))
+    rows = wrapped(docs, id_col, text_col)
+    base = rows.select("i", "h", F.col("row")[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -380,28 +404,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
                 fp, keys, node = [], [], []
-                for t in texts(batch.column(1)):
-                    h = shingle_hashes(t, shingle)
-                    once = np.unique(h)
+                for t in texts(batch.column(2)):
+                    once = np.unique(shingle_hashes(t, shingle))
                     fp.append(folded(once))
                     keys.append(minimum_keys(once))
                     node.append(xxhash.xxh64_intdigest(once.tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node)), pa.array(keys, pa.binary())], names=["doc_id", "hash", "fp", "node", "keys"])
-
-    rows = stored(base.mapInArrow(run, "doc_id long, hash long, fp long, node long, keys binary"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "keys")).alias("first")
-    nodes = stored(rows.groupBy("node", "fp").agg(first), "distinct-sets")
-    # A fingerprint's nodes hang on its smallest; the fingerprints' links are links of those.
-    low = stored(nodes.groupBy("fp").agg(F.min("node").alias("low")), "distinct-fingerprints")
-    near = links(low, radius).join(low.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b")
-    hung = nodes.join(low, "fp").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    edges = stored(near.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(hung), "near-links")
-    roots = components(edges)
-    rooted = lambda: nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    groups = stored(candidate_pairs(rooted().select("node", "root", F.col("first.keys").alias("keys")), "node", block), "candidates")
-    if not groups.isEmpty():
-        more = stored(similar_links(base, nodes, groups, shingle, similarity), "similar-links")
-        roots = components(edges.unionByName(more))
-    stay = rooted().groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
-    kept = docs.withColumn("_text_hash", text_hash).join(stored(stay, "stay"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node)), pa.array(keys, pa.binary())], names=["i", "h", "fp", "node", "keys"])
+
+    prints = stored(base.mapInArrow(run, "i long, h long, fp long, node long, keys binary"), "fingerprints")
+    again = stored(prints.groupBy("i", "h").agg(F.count("*").alias("n")).filter("n > 1").select("i", "h"), "repeated-rows")
+    repeated = not again.isEmpty()
+    first = F.min(F.struct(F.col("i").isNull().alias("none"), "i", "h")).alias("first")
+    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), first)
+    nodes = stored(nodes.select("node", "fp", "keys", "first.i", "first.h"), "distinct-sets")
+    linked = components(links(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    rooted = nodes.join(linked, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "keys")
+    groups = stored(candidate_groups(rooted, block), "candidates")
+    roots = components(similar_links(base, nodes.select("node", "i", "h"), groups, shingle, similarity, repeated))
+    first = F.min(F.struct(F.col("i").isNull().alias("none"), "i", "h")).alias("first")
+    stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first)
+    kept = at_key(rows, stored(stay.select("first.i", "first.h"), "stay"), "left_semi")
+    if repeated:  # rows alike in id and text lie apart; the others need no second exchange
+        kept = at_key(kept, again, "left_anti").unionByName(at_key(kept, again, "left_semi").dropDuplicates(["i", "h"]))
+    return kept.select("row.*")
