@@ -1,58 +1,18 @@
-"""Corpus pipeline: language ID, near-duplicates, decontamination, personal data, mixing.
-
-Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns the columns of docs (the last adds `taken`,
-the words that the mix takes). Rows alike in id and text are decided alike.
-"""
+"""Corpus pipeline: language ID, near-duplicates, decontamination, personal data, mixing, each stage stored for the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tracewell.llm import decontam, lang_id, mixing, pii, simhash
+from tracewell.llm import stages
 from tracewell.llm.common import stored, table
 
-MIN_LANG_SCORE = 0.4
-
-
-def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose language is predicted with a calibrated probability of MIN_LANG_SCORE or more."""
-    return lang_id.accepted(docs, min_score=MIN_LANG_SCORE)
-
-
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest id."""
-    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
-
-
-def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = decontam.find_leaks(keyed, table(spark, sf_dir, "benchmark"), slop=0, id_col="_key")
-    leaked = stored(found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "leaked")
-    return keyed.join(leaked, "_key", "left_anti").select(*docs.columns)
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
-    out = pii.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, and how many in `taken`, in place of any such column."""
-    docs = docs.drop("taken")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "source"))
-    taken = mixing.mix(keyed, id_col="_key").filter("taken > 0").select(F.col("doc_id").alias("_key"), "taken").distinct()
-    return keyed.join(taken, "_key").select(*docs.columns, "taken")
-
-
 STAGES = [
-    ("language_id", keep_known_language),
-    ("near_duplicates", keep_one_of_near_copies),
-    ("decontamination", drop_leaked),
-    ("personal_data", redact_personal_data),
-    ("source_mix", mix_sources),
+    ("language_id", stages.keep_known_language),
+    ("near_duplicates", stages.keep_one_of_near_copies),
+    ("decontamination", stages.drop_leaked),
+    ("personal_data", stages.redact_personal_data),
+    ("source_mix", stages.mix_sources),
 ]
 
 #: No stage but the last is expressible in SQL: a trained classifier, XXH64 fingerprints, trained span scores.
