@@ -52,6 +52,26 @@ def leaks(texts: list[str | None], items: list[tuple[int | None, str | None]], l
     return out
 
 
+def near(texts: list[str | None], items: list[tuple[int | None, str | None]], slop: int = 2, length: int = 10) -> list[int]:
+    """Items with a proximity match, for each text: all starts are tried."""
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or ""))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - length + 1)) if w else ():
+            windows[tuple(w[k : k + length])].add("" if i is None else str(i))
+    out = []
+    for t in texts:
+        w, at, found = words(t), defaultdict(set), set()
+        for p, x in enumerate(w):
+            at[x].add(p)
+        for win, ids in windows.items():
+            if all(x in at for x in win) and any(all(any(s + j + d in at[x] for d in range(-slop, slop + 1)) for j, x in enumerate(win)) for s in range(-slop, len(w) + slop)):
+                found |= ids
+        out.append(len(found))
+    return out
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     w = re.findall(BLANK, lower(text or ""))
     if not w:

@@ -104,9 +104,54 @@ def test_neighbours_reach_the_recall(spark, data):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
-def test_the_window_grows_with_the_table():
-    assert neighbours.window_of(500) == neighbours.window_of(51_282) == 700
-    assert all(neighbours.window_of(n) / n >= 700 / 51_282 for n in (51_283, 200_000, 500_000, 10**9))
+def recall_of(found: list, vectors: dict[int, np.ndarray], every: int) -> float:
+    ids, x = np.array(list(vectors)), np.array(list(vectors.values()))
+    got: dict[int, set] = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in ids[ids % every == 0]:
+        d = ((x - vectors[q]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        want = set(ids[np.argsort(d, kind="stable")[:10]].tolist())
+        hits, total = hits + len(want & got[q]), total + len(want)
+    return hits / total
+
+
+def shaped(kind: str, n: int) -> np.ndarray:
+    rng = np.random.default_rng(13)
+    if kind == "isotropic":
+        return rng.normal(size=(n, 24))
+    if kind == "tight":  # a third of all rows are near copies of one vector
+        x = rng.normal(size=(n, 24))
+        x[: n // 3] = x[0] + rng.normal(size=(n // 3, 24)) * 0.001
+        return x
+    return rng.normal(size=(40, 24))[rng.integers(0, 40, n)] + rng.normal(size=(n, 5)) @ rng.normal(size=(5, 24)) * 0.1  # clusters on planes
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "tight", "planes"])
+def test_neighbours_beyond_the_window_reach_the_recall(spark, kind):
+    x = shaped(kind, 9_000)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, curves=8).collect()
+    assert recall_of(found, dict(enumerate(x)), 100) >= 0.9
+
+
+def test_the_window_follows_the_structure(spark, monkeypatch):
+    seen = {}
+    window_of = neighbours._window
+    for kind in ("isotropic", "planes"):
+        x = shaped(kind, 9_000)
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        monkeypatch.setattr(neighbours, "_window", lambda *a, kind=kind: seen.setdefault(kind, window_of(*a)))
+        neighbours.nearest(df, curves=8)
+    assert seen["planes"] < seen["isotropic"] / 3 and seen["planes"] < 9_000 / 20
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    rows = [(100, [1.0, 2.0])] * 500 + [(k, [1.0, 2.0]) for k in range(101, 130)] + [(1, [5.0, 5.0])]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == 100) == [(k + 1, 101 + k) for k in range(10)]
 
 
 def test_neighbours_of_odd_vectors(spark):
@@ -154,6 +199,60 @@ def test_assignments_and_constants(none):
     assert secrets.find_secrets(none).collect() == []
 
 
+def pair_texts(text: str) -> list[str]:
+    return [text[a:b] for _, a, b in secrets.scan(text)[1]]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('os.environ["DB_PASSWORD"] = "hT5$kLm9Qz"', ["hT5$kLm9Qz"]), ('dsn = "host=db;password=S3cr3t!Value9;user=x"', ["S3cr3t!Value9"]), ('// password = "Qw8Er7Ty6Ui"', ["Qw8Er7Ty6Ui"]), ('/* token: "Zx9Qw8Er7Ty6" */ x', ["Zx9Qw8Er7Ty6"]),
+        ("mysql --password Zx9Qw8Er7Ty6 -u root", ["Zx9Qw8Er7Ty6"]), ('"secret": {"value": "Zx9Qw8Er7Ty6", "note": "hello there 77"}', ["Zx9Qw8Er7Ty6"]), ('a = "Zx9Q"\nb = a + "w8Er7Ty6X"\nauth_token = b', ["w8Er7Ty6X"]),
+        ('private_key = """\nMIIEvQ8aB3+x\nZz9\n"""', ["\nMIIEvQ8aB3+x\nZz9\n"]), ('password = os.environ.get("DB")', []), ("x" * 500 + '_password = "Zx9Qw8Er7Ty6"', ["Zx9Qw8Er7Ty6"]), ("it's password=abC123!xyzQ and that's", ["abC123!xyzQ"]),
+        ('def f(): { k = "Zx9Qw8Er7Ty6" } { password = k }', []), ('api_key = ("Zx9Qw8"\n   "Er7Ty6")', ["Zx9Qw8", "Er7Ty6"]), ("password '", []), ('token = "', []), ("secret: {{{", []), ("", []),
+    ],
+)
+def test_lexer(text, found):
+    assert pair_texts(text) == found
+
+
+def test_constants_reach_names_as_by_brute_force():
+    import random
+
+    for seed in range(200):
+        rng, env, lines, want = random.Random(seed), {}, [], set()
+        for k in range(rng.randint(1, 25)):
+            name = rng.choice(["db_password", "authToken", "clientSecret", "alpha", "colour", "row", "helper"])
+            parts, held = [], set()
+            for _ in range(rng.randint(1, 3)):
+                if env and rng.random() < 0.5:
+                    parts.append(used := rng.choice(sorted(env)))
+                    held |= env[used]
+                else:
+                    literal = f"Q{k}z!" + "".join(rng.choice("abcdEFGH01234") for _ in range(10))
+                    parts.append(rng.choice("\"'") + literal)
+                    parts[-1] += parts[-1][0]
+                    held |= {literal}
+            env[name] = held
+            lines.append(f"{rng.choice(('', '  ', 'const ', 'export '))}{name} {rng.choice(('=', ':='))} {' + '.join(parts)}{rng.choice(('', ';'))}")
+            if name not in ("alpha", "colour", "row", "helper"):
+                want |= held
+        assert set(pair_texts("\n".join(lines))) == want
+
+
+def test_long_texts_of_assignments_take_bounded_memory():
+    import tracemalloc
+
+    peaks = []
+    for n in (20_000, 80_000):
+        text = 's = ""\n' + 's = s + "x"\n' * n + 'password = s + "Zx9Qw8Er7Ty6"\n'
+        tracemalloc.start()
+        assert pair_texts(text) == ["Zx9Qw8Er7Ty6"]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 5 * peaks[0] and peaks[1] < 150e6
+
+
 # --- 4 SimHash
 
 
@@ -338,6 +437,7 @@ def test_leaks_of_odd_items(spark, odd, none, items):
 def test_blocks_of_items_give_the_same(documents, items, monkeypatch):
     whole = Counter(decontam.find_leaks(documents, items).collect())
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 7)
     assert Counter(decontam.find_leaks(documents, items).collect()) == whole
 
 
@@ -349,6 +449,25 @@ def test_near_matches(spark):
     assert got == {1: (10, 1), 2: (0, 1), 3: (0, 0)}
 
 
+def test_near_matches_are_those_of_all_starts(spark):
+    import random
+
+    rng = random.Random(5)
+    draw = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    tests, texts = [(k, draw(rng.choice((3, 10, 12)))) for k in range(30)], [(k, draw(rng.choice((0, 2, 9, 40)))) for k in range(40)] + [(50, None)]
+    found = decontam.find_leaks(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), spark.createDataFrame(tests, "item_id long, text string"))
+    assert {r["doc_id"]: r["n_near"] for r in found.collect()} == dict(zip((i for i, _ in texts), brute.near([t for _, t in texts], tests)))
+
+
+def test_repeated_and_long_items_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 500)
+    long = words(9_000, 31)
+    tests = spark.createDataFrame([(1, words(40, 30))] * 500 + [(2, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, words(40, 30)), (2, " ".join(long.split()[495:515])), (3, "none of it")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.find_leaks(docs, tests).collect()} == {1: (40, 1), 2: (20, 1), 3: (0, 0)}
+
+
 # --- 6 substrings
 
 
@@ -358,6 +477,24 @@ def test_repeated_substrings(docs):
     assert Counter(rows_of(substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256")) == want
 
 
+def test_frequent_seeds_give_the_same(docs):
+    texts = texts_of(docs)
+    want = Counter((i, *x) for (i, _), x in zip(texts, brute.repeats([t for _, t in texts])))
+    assert Counter(rows_of(substring.remove_repeats(docs, hot=2), "doc_id", "n_words", "n_removed", "kept_sha256")) == want
+
+
+def test_repeats_among_few_words_are_those_of_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["a " * 50, "a " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for length in (4, 6, 9):
+        want = {k: x for k, x in enumerate(brute.repeats(texts, length))}
+        for hot in (2, 20_000):
+            assert {r["doc_id"]: tuple(r)[1:] for r in substring.remove_repeats(df, length, hot=hot).collect()} == want
+
+
 def test_short_windows_and_kept_text(spark, none):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "x c d e f y"), (3, "a b"), (4, "p q r s p q r s")], "doc_id long, text string")
     got = {r["doc_id"]: r["kept_text"] for r in substring.remove_repeats(docs, length=4, keep_text=True).collect()}

@@ -28,7 +28,7 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=0).drop("n_near")
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,27 @@ WITH words AS (
   SELECT row, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + n)) t(p) GROUP BY row
 ), ids AS (
   SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, id FROM found) GROUP BY row
+), lists AS (
+  SELECT DISTINCT id, w[i:i + 9] AS x FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0
+), numbered AS (
+  SELECT x, row_number() OVER () AS win FROM (SELECT DISTINCT x FROM lists)
+), terms AS (
+  SELECT win, j, x[j] AS word, len(x) AS n FROM numbered, unnest(range(1, len(x) + 1)) t(j)
+), posts AS (
+  SELECT * FROM (SELECT row, p, w[p] AS word FROM words, unnest(range(1, len(w) + 1)) t(p)) WHERE word IN (SELECT word FROM terms)
+), freq AS (
+  SELECT word, count(*) AS c FROM posts GROUP BY word
+), rare AS (
+  SELECT win, arg_min(j, (coalesce(c, 0), j)) AS j, arg_min(word, (coalesce(c, 0), j)) AS word FROM terms LEFT JOIN freq USING (word) GROUP BY win
+), tried AS (
+  SELECT DISTINCT row, win, p - j + d AS s FROM rare JOIN posts USING (word), unnest(range(-2, 3)) t(d)
+), close AS (
+  SELECT row, win FROM tried JOIN terms USING (win), unnest(range(-2, 3)) t(d) SEMI JOIN posts ON posts.row = tried.row AND posts.p = s + j + d AND posts.word = terms.word GROUP BY row, win, s, n HAVING count(DISTINCT j) = n
+), near AS (
+  SELECT row, count(DISTINCT id) AS n_near FROM close JOIN numbered USING (win) JOIN lists USING (x) GROUP BY row
 )
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM words LEFT JOIN hit USING (row) LEFT JOIN ids USING (row)""",
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM words LEFT JOIN hit USING (row) LEFT JOIN ids USING (row) LEFT JOIN near USING (row)""",
     "op6_substring_dedup": r"""
 WITH words AS (
   SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
