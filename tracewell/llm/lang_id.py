@@ -20,6 +20,8 @@ from tracewell.llm.common import slices
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 BITS = 15
 PIECE = 4 << 20
+#: Characters of a text that are looked at at once.
+CHUNK = 1 << 20
 UND = "und"
 
 
@@ -34,23 +36,33 @@ class Features:
         self.letter = _letters()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """(buckets, 1 + ln count) of a text; None if it has no letter."""
-        c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        is_letter = self.letter[c]
-        if not is_letter.any():
+        """(buckets, 1 + ln count) of a text; None if it has no letter. Long texts go through in chunks."""
+        counts, last, any_letter = np.zeros(1 << BITS, np.int64), np.array([32], np.uint32), False
+        for at in range(0, len(text), CHUNK):
+            c = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            is_letter = self.letter[c]
+            any_letter |= bool(is_letter.any())
+            c = np.where(is_letter, c, np.uint32(32))
+            # Of a run of others the first stays, as the blank; `last` holds the two before, and always one.
+            c = c[is_letter | np.append(last[-1] != 32, is_letter[:-1])]
+            last = self._count(counts, last, c)
+        if not any_letter:
             return None
-        c = np.where(is_letter, c, np.uint32(32))
-        keep = np.ones(len(c), dtype=bool)
-        keep[1:] = is_letter[1:] | is_letter[:-1]
-        c = np.concatenate(([32], c[keep], [32])).astype(np.uint32)
-        k = np.uint32(2654435761)
-        one = c * k
-        two = (one[:-1] ^ (c[1:] * np.uint32(40503))) * k + np.uint32(1)
-        three = (two[:-1] ^ (c[2:] * np.uint32(2246822519))) * k + np.uint32(2)
-        counts = np.bincount(np.concatenate((one, two, three)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+        if last[-1] != 32:
+            self._count(counts, last, np.array([32], np.uint32))
         at = np.flatnonzero(counts)
         return at.astype(np.int32), 1.0 + np.log(counts[at])
 
+    @staticmethod
+    def _count(counts: np.ndarray, last: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Count the n-grams that end in `new`, which follows `last`; the last two of both."""
+        k, c = np.uint32(2654435761), np.concatenate((last, new))
+        two = ((c[:-1] * k) ^ (c[1:] * np.uint32(40503))) * k + np.uint32(1)
+        three = (two[:-1] ^ (c[2:] * np.uint32(2246822519))) * k + np.uint32(2)
+        grams = np.concatenate((new * k, two[len(last) - 1 :], three[max(0, len(last) - 2) :]))
+        counts += np.bincount(grams >> np.uint32(32 - BITS), minlength=1 << BITS)
+        return c[-2:]
+
 
 @dataclass
 class Model:
@@ -194,7 +206,11 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def accepted(docs: DataFrame, model: Model | None = None, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is known with `min_score` or more. No shuffle."""
+    """The rows of docs, all columns as they are, whose language is known with `min_score` or more. No shuffle.
+
+    Null, empty and letterless texts, and all rows where there is no label to learn from, are not known. Null ids and
+    repeated rows are judged like others; a tie between languages changes nothing; an empty table gives an empty result.
+    """
     model = model or train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **training)
     small = Model(model.langs, model.idf, model.weights.astype(np.float32).astype(float), model.bias, model.temperature)
 
