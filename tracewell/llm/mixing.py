@@ -9,6 +9,7 @@ the budget ends, and only that bin's documents are sorted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -84,9 +85,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     r = _with_source(rows, ends)
     digits = F.shiftright("place", 20)
     last = r.filter(digits == F.col("prefix"))
-    at = W.partitionBy("source").orderBy("place", "doc_id", "size").rangeBetween(W.unboundedPreceding, W.currentRow)
-    tied = W.partitionBy("source", "place", "doc_id", "size")
-    last = last.withColumn("tied", F.sum("size").over(tied)).withColumn("left", F.col("rest") - F.col("before") - (F.sum("size").over(at) - F.col("tied")))
+    # Only distinct documents are put in order, so that copies of one do not meet in a task; each then gets its part.
+    alike = ["source", "place", "doc_id", "size"]
+    each = last.groupBy(*alike).agg(F.sum("size").alias("tied"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    at = W.partitionBy("source").orderBy("place", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    each = each.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("tied").over(at), F.lit(0)))
+    each = stored(each.select(*(F.col(c).alias(f"_{c}") for c in alike), "tied", "left"), "mix-last")
+    last = last.join(each, reduce(lambda a, c: a & c, (same(F.col(c), F.col(f"_{c}")) for c in alike)))
     part = F.when(F.col("left") <= 0, F.lit(0)).when(F.col("left") >= F.col("tied"), F.col("size")).otherwise(F.round(F.col("size") * F.col("left") / F.col("tied")))
     full = F.when(digits < F.col("prefix"), F.col("size")).otherwise(F.lit(0))
     kept = ["doc_id", "size", "source_size", "target"]
