@@ -70,9 +70,38 @@ def test_language_counts_all_documents(documents):
     assert np.allclose(lang_id.train(documents, sample_per_lang=5).idf, np.log((1 + len(found)) / (1 + d)) + 1)
 
 
-def test_languages_accept_whole_rows(odd):
+def test_languages_accept_whole_rows(odd, none):
     kept = lang_id.accepted(odd, min_score=0.0)
     assert kept.columns == odd.columns and 0 < kept.count() <= odd.count()
+    assert lang_id.accepted(none).collect() == [] and kept.filter("doc_id in (1, 2, 3, 4)").count() == 0
+
+
+def test_chunks_of_a_text_give_the_same_features(monkeypatch):
+    features = lang_id.Features()
+    texts = ["", "a", " a", "a ", "  ab--cd  E", "é12ñ ß!!", "漢字 😀 x" * 50, words(300, 3), "... ..."]
+    whole = [features(t) for t in texts]
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(lang_id, "CHUNK", size)
+        for t, want in zip(texts, whole):
+            got = features(t)
+            assert (got is None) == (want is None) and (got is None or all(np.array_equal(a, b) for a, b in zip(got, want)))
+
+
+def test_probabilities_are_those_of_the_plain_formula(documents):
+    import math
+
+    model = lang_id.train(documents, sample_per_lang=40)
+    features = lang_id.Features()
+    model.weights = model.weights.astype(np.float32).astype(float)
+    got = {r["doc_id"]: r for r in lang_id.identify(documents.limit(40), model).collect()}
+    for i, t in texts_of(documents.limit(40)):
+        if i not in got or not t or not (f := features(t)):
+            continue
+        x = {int(b): tf * model.idf[b] for b, tf in zip(*f)}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [sum(v / norm * model.weights[b, k] for b, v in x.items()) + model.bias[k] for k in range(len(model.langs))]
+        p = [math.exp((v - max(z)) / model.temperature) for v in z]
+        assert got[i]["lang_pred"] == model.langs[p.index(max(p))] and abs(got[i]["score"] - max(p) / sum(p)) < 1e-9
 
 
 def test_temperature_and_sparsity():
@@ -541,6 +570,35 @@ def test_mix_meets_its_targets(docs):
     assert Counter(found) == Counter(mixing.mix(named.repartition(7), id_col="id").collect())
 
 
+def test_mix_takes_documents_in_order_of_their_keys(documents):
+    repeated = documents.unionByName(documents.filter("doc_id % 7 = 0"))
+    rows = mixing.measured(repeated).collect()
+    sizes: dict = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    goal, want = filled(sizes), Counter()
+    for s, size in sizes.items():
+        epochs = int(goal[s] // size)
+        left = goal[s] - epochs * size
+        groups: dict = {}
+        for r in rows:
+            if r["source"] == s:
+                groups.setdefault((int((1.0 - r["u"] ** (1.0 / r["quality"])) * 2**40), r["doc_id"], r["size"]), []).append(r)
+        for (_, i, n), same in sorted(groups.items(), key=lambda g: g[0]):
+            tied = n * len(same)
+            part = 0 if left <= 0 else n if left >= tied else round(n * left / tied)
+            left -= tied
+            want[i, epochs * n + part] += len(same)
+    got = Counter((r["doc_id"], r["taken"]) for r in mixing.mix(repeated).collect())
+    assert sum((got - want).values()) <= 2 * len(sizes)  # a float at the very edge may round the other way
+
+
+def test_a_document_repeated_often_is_not_put_in_order_copy_by_copy(spark):
+    df = spark.range(20_000).selectExpr("5L as doc_id", "'one two three' as text", "'s' as source").unionByName(spark.createDataFrame([(9, "four", "s"), (7, "five six " * 50_000, "t")], "doc_id long, text string, source string"))
+    found = mixing.mix(df, weights=(1.0, 20.0)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("taken").alias("lo"), F.max("taken").alias("hi")).collect()
+    assert {r["doc_id"]: (r["n"], r["lo"] == r["hi"]) for r in found} == {5: (20_000, True), 9: (1, True), 7: (1, True)}
+
+
 def test_mix_of_nothing(none, odd):
     assert mixing.mix(none).collect() == []
     assert {r["taken"] for r in mixing.mix(odd.withColumn("text", F.lit(" "))).collect()} == {0}
@@ -572,6 +630,73 @@ def test_quality_posteriors_shrink(spark):
     assert found[0] > found[900] > found[1]
 
 
+def test_quality_posteriors_are_the_closed_form(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    docs = [(k, "same text", f"h{k % 4}", f"h{k % 4}/{k % 3}") for k in range(200)] + [(900, "same text", "h9", "h9/0")]
+    marks = {k: int(rng.random() < (0.2, 0.5, 0.7, 0.9)[k % 4]) for k in range(160)}
+    df = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    found = {r["doc_id"]: r["site_log_odds"] for r in quality.score(df, labels, F.col("host"), F.col("path")).collect()}
+    total, positive = len(marks), sum(marks.values())
+
+    def counts(level: int) -> dict:
+        out: dict = {}
+        for d in docs:
+            if d[0] in marks:
+                n, k = out.get(d[2 : 3 + level], (0, 0))
+                out[d[2 : 3 + level]] = n + 1, k + marks[d[0]]
+        return out
+
+    def strength(groups: dict, mean) -> float:
+        s = sum(n * (k / n - mean(g)) ** 2 for g, (n, k) in groups.items())
+        all_n, nn = sum(n for n, _ in groups.values()), sum(n * n for n, _ in groups.values())
+        chance = sum(mean(g) * (1 - mean(g)) for g in groups)
+        between = (s - chance) / (all_n - nn / all_n)
+        inside = sum(n * mean(g) * (1 - mean(g)) for g, (n, _) in groups.items()) / all_n
+        return min(1e6, max(1.0, inside / between - 1)) if between > 0 else 1e6
+
+    prior, hosts, paths = (positive + 1) / (total + 2), counts(0), counts(1)
+    m_host = strength(hosts, lambda g: prior)
+    m_path = strength(paths, lambda g: (hosts[g[:1]][1] + m_host * prior) / (hosts[g[:1]][0] + m_host))
+    for i, _, host, path in docs:
+        own, y = int(i in marks), marks.get(i, 0)
+        p0 = (positive - y + 1) / (total - own + 2)
+        (nh, kh), (np_, kp) = hosts.get((host,), (0, 0)), paths.get((host, path), (0, 0))
+        h = (kh - y + m_host * p0) / (nh - own + m_host)
+        p = (kp - y + m_path * h) / (np_ - own + m_path)
+        assert abs(found[i] - math.log(p / (1 - p))) < 1e-9
+
+
+def test_no_label_judges_its_own_document(spark, data, documents):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    one = labels.orderBy("doc_id").first()["doc_id"]
+    turned = labels.withColumn("quality", F.when(F.col("doc_id") == one, 1 - F.col("quality")).otherwise(F.col("quality")))
+    scores = [quality.score(documents, x, F.col("source"), F.col("lang")).filter(F.col("doc_id") == one).collect()[0] for x in (labels, turned)]
+    assert abs(scores[0]["evidence"] - scores[1]["evidence"]) < 1e-9
+    assert abs(scores[0]["site_log_odds"] - scores[1]["site_log_odds"]) < 0.5
+
+
+def test_quality_of_pages_by_their_real_hosts(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    marks = pages.select("page_id", (F.crc32(quality.host_of(F.col("url"))) % 3 == 0).cast("int").alias("quality")).filter("page_id % 2 = 0")
+    found = quality.score(pages, marks, quality.host_of(F.col("url")), quality.path_of(F.col("url")), id_col="page_id", text_col="html", label_id_col="page_id").collect()
+    assert len(found) == pages.count() and len({r["host"] for r in found}) > 1
+    unseen = [r for r in found if r["doc_id"] % 2]
+    truth = dict(rows_of(pages.select("page_id", F.crc32(quality.host_of(F.col("url"))).alias("c")), "page_id", "c"))
+    good, bad = ([r["site_log_odds"] for r in unseen if (truth[r["doc_id"]] % 3 == 0) == v] for v in (True, False))
+    assert not good or not bad or np.mean(good) > np.mean(bad)
+
+
+def test_a_repeated_label_row_reaches_the_driver_once(spark, documents):
+    many = spark.range(30_000).selectExpr("1L as doc_id", "'again and again' as text", "'a' as source", "'en' as lang")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    found = quality.score(many.unionByName(documents.select("doc_id", "text", "source", "lang")), labels, F.col("source"), F.col("lang"), sample=50)
+    assert found.count() == 30_000 + documents.count()
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(8, 1), (8, 0), (5, None), (None, 1), (999, 0), (10, 1)], "doc_id long, quality int")
     for table, marks in ((odd, labels), (odd, labels.limit(0)), (none, labels)):

@@ -3,7 +3,9 @@
 Three sources of evidence on the log-odds scale: a document classifier (logistic regression on the text's form, giving a
 likelihood ratio), and the labels gathered at its host and at its path. Paths shrink toward their host, hosts toward the
 global rate: beta-binomial posteriors whose prior strengths come from the data by the method of moments, all by grouped
-aggregates with partial sums, so a host with a third of all rows costs no more than another.
+aggregates with partial sums, so a host with a third of all rows costs no more than another. No label judges its own
+document: the classifier is fitted on two halves of the labels, each scoring the other, and a labelled document's label
+is taken out of its host's and path's counts.
 """
 
 from __future__ import annotations
@@ -63,31 +65,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = 20_000, cut: float = 0.5) -> DataFrame:
     """Posterior probability of good quality for every document, and whether it is kept (score >= cut).
 
-    `sample` is the documented bound on labelled rows that the document classifier is fitted on (by a hash of the id);
-    the site counts use all labels. Several labels of one id count by their mean; null labels and labels without a
-    document do nothing. Without labels of both kinds the classifier gives no evidence, and without labels every score
-    is 0.5. A null host or path is a site of its own; null and empty texts have the form of an empty text; null ids are
-    scored without own label; repeated rows pass through, a row each; an empty table gives an empty result.
+    `sample` is the documented bound on labelled documents that each half's classifier is fitted on (by a hash of the id,
+    repeated ids once); the site counts use all labels. Several labels of one id count by their mean; null labels and
+    labels without a document do nothing. Without labels of both kinds a half's classifier gives no evidence, and without
+    labels every score is 0.5. A null host or path is a site of its own; null and empty texts have the form of an empty
+    text; null ids are scored without own label; repeated rows pass through, a row each, and count at their sites one by
+    one; an empty table gives an empty result; other columns, whatever their names, are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), F.col(text_col).alias("text"))
-    rows = stored(formed(base), "quality-form")
-    good = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    known = stored(rows.join(good, "doc_id"), "quality-labelled")
+    good = labels.select(F.col(label_id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("y")).filter("_id is not null and y is not null").groupBy("_id").agg(F.avg("y").alias("y"))
+    rows = formed(base).join(good, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    rows = stored(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int")), "quality-form")
+    known = rows.filter("y is not null")
     total, positive = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).collect()[0]
     prior = (positive + 1.0) / (total + 2.0)
-    hashed = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
-    drawn = known.filter(hashed < F.lit(min(1.0, sample / max(1, total))) * (1 << 30)).select("form", "y").collect()
-    x, y = np.array([r["form"] for r in drawn]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in drawn])
-    evidence: Column = F.lit(0.0)
-    if len(set(np.round(y))) == 2:
-        mean, spread, w = logistic(x, np.round(y))
-        base_rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-        z = [(F.col("form")[k] - float(mean[k])) / float(spread[k]) for k in range(len(FEATURES))]
-        # The classifier's log-odds less those of its sample: a likelihood ratio.
-        evidence = F.lit(float(w[-1]) - math.log(base_rate / (1 - base_rate)))
-        for k, v in enumerate(z):
-            evidence = evidence + float(w[k]) * v + float(w[k + len(z)]) * v * v
-        evidence = F.greatest(F.lit(-12.0), F.least(F.lit(12.0), evidence))
+    by_half = [_evidence(known.filter(F.col("half") == k), sample) for k in (0, 1)]
+    evidence = F.when(F.col("half") == 0, by_half[1]).otherwise(by_half[0])
 
     def strength(groups: DataFrame, mean: Column) -> float:
         """Prior sample size m of a beta-binomial by moments: between-site variance over what chance explains."""
@@ -101,14 +94,35 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
 
     hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
     m_host = strength(hosts, F.lit(prior))
-    hosts = hosts.select(F.col("host").alias("_h"), ((F.col("k") + m_host * prior) / (F.col("n") + m_host)).alias("host_rate"))
-    hosts = stored(hosts, "quality-hosts")
+    hosts = stored(hosts.select(F.col("host").alias("_h"), F.col("n").alias("n_host"), F.col("k").alias("k_host")), "quality-hosts")
     paths = known.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).drop("_h")
-    m_path = strength(paths, F.col("host_rate"))
-    paths = stored(paths.select(F.col("host").alias("_ph"), F.col("path").alias("_pp"), ((F.col("k") + m_path * F.col("host_rate")) / (F.col("n") + m_path)).alias("path_rate")), "quality-paths")
+    of_host = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).withColumn("rate", (F.col("k_host") + m_host * prior) / (F.col("n_host") + m_host))
+    m_path = strength(of_host, F.col("rate"))
+    paths = stored(paths.select(F.col("host").alias("_ph"), F.col("path").alias("_pp"), F.col("n").alias("n_path"), F.col("k").alias("k_path")), "quality-paths")
     out = rows.join(hosts, F.col("host").eqNullSafe(F.col("_h")), "left").join(paths, F.col("host").eqNullSafe(F.col("_ph")) & F.col("path").eqNullSafe(F.col("_pp")), "left")
-    rate = F.coalesce("path_rate", "host_rate", F.lit(prior if total else 0.5))
-    out = out.withColumn("evidence", evidence).withColumn("site_log_odds", F.log(rate / (1 - rate)))
+    own, own_y = F.col("y").isNotNull().cast("int"), F.coalesce("y", F.lit(0.0))
+    others = lambda n, k, m, mean: (F.coalesce(k, F.lit(0.0)) - own_y + m * mean) / (F.coalesce(n, F.lit(0)) - own + m)
+    all_prior = (positive - own_y + 1.0) / (total - own + 2.0)
+    host_rate = others("n_host", "k_host", m_host, all_prior)
+    rate = F.when(F.lit(total) > 0, others("n_path", "k_path", m_path, host_rate)).otherwise(F.lit(0.5))
+    out = out.withColumn("evidence", evidence).withColumn("rate", rate).withColumn("site_log_odds", F.log(F.col("rate") / (1 - F.col("rate"))))
     out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + F.col("site_log_odds")))))
     return out.withColumn("keep", F.col("score") >= cut).select(*RESULT)
+
+
+def _evidence(known: DataFrame, sample: int) -> Column:
+    """The classifier's log-odds less those of its sample, a likelihood ratio, as an expression of the form."""
+    total = known.count()
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
+    drawn = known.filter(hashed < F.lit(min(1.0, sample / max(1, total))) * (1 << 30)).groupBy("doc_id").agg(F.min(F.struct("form", "y")).alias("one"))
+    drawn = drawn.orderBy(hashed, "doc_id").limit(sample).select("one.form", "one.y").collect()
+    x, y = np.array([r["form"] for r in drawn]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in drawn])
+    if len(set(np.round(y))) < 2:
+        return F.lit(0.0)
+    mean, spread, w = logistic(x, np.round(y))
+    base_rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    evidence = F.lit(float(w[-1]) - math.log(base_rate / (1 - base_rate)))
+    for k in range(len(FEATURES)):
+        z = (F.col("form")[k] - float(mean[k])) / float(spread[k])
+        evidence = evidence + float(w[k]) * z + float(w[k + len(FEATURES)]) * z * z
+    return F.greatest(F.lit(-12.0), F.least(F.lit(12.0), evidence))
