@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounds, slices, stored, texts, whole_groups
+from tracewell.llm.common import BitMap, bounds, slices, stored, texts, whole_groups
 
 RADIUS = 4
 SHINGLE = 4
@@ -230,8 +230,6 @@ _MUL = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) ^ (k << 40)) & 0xFFFFFFFFFFFF
 NEARBY = 1024
 #: Members of a group whose links are looked for at once, before what they reach is set aside.
 CLOSEST = 3
-#: Bits of the map that picks texts to verify: 16 MB, whatever the table's size; a full map only lets more texts pass.
-MAP_BITS = 1 << 27
 
 
 def minimum_keys(h: np.ndarray) -> bytes:
@@ -332,23 +330,13 @@ def at_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def marked(texts_: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of texts_ (i, h, text) that may be among asked (i, h): a map of MAP_BITS bits goes to the scan, so that
-    other texts are not shuffled. The map is of one size whatever the table's; it comes to the driver as Arrow."""
-    place = F.pmod(F.xxhash64("i", "h"), F.lit(MAP_BITS))
-    bit = asked.select(place.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-    words = bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    if not words.num_rows:
-        return texts_.select("i", "h", "text").filter(F.lit(False))
-    at, bits = words.column("word").to_numpy(), words.column("bits").to_numpy().view(np.uint64)
-    order = np.argsort(at)
-    at, bits = at[order], bits[order]
+    """The rows of texts_ (i, h, text) that may be among asked (i, h), picked by a map at the scan: others are not shuffled."""
+    place = F.xxhash64("i", "h")
+    asked_map = BitMap(asked.select(place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            k = np.minimum(np.searchsorted(at, p >> 6), len(at) - 1)
-            hit = (at[k] == p >> 6) & ((bits[k] >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            yield batch.filter(pa.array(hit)).select(["i", "h", "text"])
+            yield batch.filter(pa.array(asked_map.has(batch.column(3).to_numpy(zero_copy_only=False)))).select(["i", "h", "text"])
 
     return texts_.select("i", "h", "text", place.alias("p")).mapInArrow(run, "i long, h long, text string")
 
