@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions import classify
 from tracewell.operators import graph
 from tracewell.operators.registry import Registry, Tables
-from tracewell.plans import ids
+from tracewell.plans import classify, ids
 from tracewell.plans.schema import CONVERGED
 
 REGISTRY = Registry()
@@ -170,37 +169,35 @@ _STATEMENTS = "(VALUES ('INSERT'), ('InsertOverwrite'), ('CREATE_TABLE_AS_SELECT
 
 @query(f"SELECT s, CASE WHEN upper(s) LIKE '%OVERWRITE%' THEN 'OVERWRITE' WHEN upper(s) LIKE '%INSERT%' THEN 'INSERT' WHEN upper(s) LIKE '%CREATE%' THEN 'CREATE' WHEN upper(s) LIKE '%WRITE%' THEN 'WRITE' END AS mode FROM {_STATEMENTS}")
 def k_write_mode(t: Tables) -> DataFrame:
-    return t.spark.sql(f"SELECT * FROM {_STATEMENTS[1:-6]} AS v(s)").select("s", classify.write_mode(F.col("s")).alias("mode"))
+    return t.spark.createDataFrame([(s, classify.write_mode(s)) for s in ("INSERT", "InsertOverwrite", "CREATE_TABLE_AS_SELECT", "APPEND_DATA_WRITE", "PROJECT")], "s string, mode string")
 
 
-@query("SELECT * FROM (VALUES ('casewhen', 'case_when', false), ('if', 'case_when', false), ('sum', 'aggregate', false), ('windowexpression', 'window', false), ('cast', 'cast', false), ('coalesce', 'coalesce', false), ('nvl', 'coalesce', false), ('pythonUDF', 'udf', true), ('alias', 'projection', false), ('add', 'arithmetic', false)) v(name, category, black_box)")
+_KINDS = [("CaseWhen", "case_when"), ("If", "case_when"), ("AggregateExpression", "aggregate"), ("WindowExpression", "window"), ("Cast", "cast"), ("Coalesce", "coalesce"), ("Nvl", "coalesce"), ("PythonUDF", "udf"), ("Alias", "projection"), ("AttributeReference", "projection"), ("Add", "arithmetic")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}', {str(c == 'udf').lower()})" for k, c in _KINDS) + ") v(kind, category, black_box)")
 def k_category(t: Tables) -> DataFrame:
-    names = t.spark.createDataFrame([(n,) for n in ("casewhen", "if", "sum", "windowexpression", "cast", "coalesce", "nvl", "pythonUDF", "alias", "add")], "name string")
-    c = classify.category(F.col("name"))
-    return names.select("name", c.alias("category"), classify.black_box(c).alias("black_box"))
+    return t.spark.createDataFrame([(k, c := classify.category(k), classify.black_box(c)) for k, _ in _KINDS], "kind string, category string, black_box boolean")
 
 
 @query("SELECT * FROM (VALUES ('OUTPUT', NULL, 'output'), ('EXPRESSION_INPUT', NULL, 'source'), ('EXPRESSION_INPUT', 'group_key', 'group_key'), ('EXPRESSION_INPUT', 'aggregate_expression', 'agg_input'), ('PREDICATE_INPUT', 'other', 'derived')) v(kind, operator, role)")
 def k_instance_role(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("OUTPUT", None), ("EXPRESSION_INPUT", None), ("EXPRESSION_INPUT", "group_key"), ("EXPRESSION_INPUT", "aggregate_expression"), ("PREDICATE_INPUT", "other")], "kind string, operator string")
-    return rows.select("kind", "operator", classify.instance_role(F.col("kind"), F.col("operator")).alias("role"))
+    rows = [("OUTPUT", None), ("EXPRESSION_INPUT", None), ("EXPRESSION_INPUT", "group_key"), ("EXPRESSION_INPUT", "aggregate_expression"), ("PREDICATE_INPUT", "other")]
+    return t.spark.createDataFrame([(*r, classify.instance_role(*r)) for r in rows], "kind string, operator string, role string")
 
 
 @query("SELECT * FROM (VALUES ('Join', false, false, 'join_on', 'join_condition'), ('Filter', false, false, 'where', 'filter_condition'), ('Filter', true, false, 'having', 'having_condition'), ('Filter', false, true, 'qualify', 'qualify_condition'), ('Sort', false, false, 'other', 'other_condition')) v(node, agg, win, role, edge_role)")
 def k_predicate_role(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("Join", False, False), ("Filter", False, False), ("Filter", True, False), ("Filter", False, True), ("Sort", False, False)], "node string, agg boolean, win boolean")
-    role = classify.predicate_role(F.col("node"), F.col("agg"), F.col("win"))
-    return rows.select("node", "agg", "win", role.alias("role"), classify.predicate_edge_role(role).alias("edge_role"))
+    rows = [("Join", False, False), ("Filter", False, False), ("Filter", True, False), ("Filter", False, True), ("Sort", False, False)]
+    return t.spark.createDataFrame([(*r, role := classify.predicate_role(*r), classify.predicate_edge_role(role)) for r in rows], "node string, agg boolean, win boolean, role string, edge_role string")
 
 
 @query("SELECT * FROM (VALUES ('INNER', 0, 'inner_join', 'left_input'), ('LEFT OUTER', 1, 'leftouter_join', 'right_input'), ('LEFT ANTI', 2, 'leftanti_join', 'join_input_2')) v(kind, ordinal, role, input)")
 def k_join_role(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("INNER", 0), ("LEFT OUTER", 1), ("LEFT ANTI", 2)], "kind string, ordinal int")
-    return rows.select("kind", "ordinal", classify.join_role(F.col("kind")).alias("role"), classify.input_role(F.col("ordinal")).alias("input"))
+    return t.spark.createDataFrame([(j, k, classify.join_role(j), classify.input_role("Join", k)) for j, k in (("INNER", 0), ("LEFT OUTER", 1), ("LEFT ANTI", 2))], "kind string, ordinal int, role string, input string")
 
 
 @query("SELECT a AS source, b AS sink, upper(a) || '_TO_' || upper(b) AS edge_type FROM (VALUES ('column'), ('expression')) x(a) CROSS JOIN (VALUES ('column'), ('expression')) y(b)")
 def k_flow_edge_type(t: Tables) -> DataFrame:
-    kinds = t.spark.createDataFrame([("column",), ("expression",)], "source string")
-    both = kinds.crossJoin(kinds.withColumnRenamed("source", "sink"))
-    return both.select("source", "sink", classify.flow_edge_type(F.col("source"), F.col("sink")).alias("edge_type"))
+    kinds = ("column", "expression")
+    return t.spark.createDataFrame([(a, b, classify.flow_edge_type(a, b)) for a in kinds for b in kinds], "source string, sink string, edge_type string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +56,10 @@ class BundleSession:
     def finish(self) -> dict:
         """Write the bundle; returns the summary that is also the manifest."""
         counts = {}
+        write_text(self.spark, f"{self.path}/schema.ddl", schema_text())
         for name, df in self.memory.tables().items():
-            df.coalesce(1).write.mode("overwrite").options(**OPTIONS).csv(f"{self.path}/{folder(name)}")
+            df.write.mode("overwrite").options(**OPTIONS).csv(f"{self.path}/{folder(name)}")
             counts[name] = read_table(self.spark, self.path, name).count()
-        write_text(self.spark, f"{self.path}/schema.ddl", schema_text())
         summary = {"scripts": len(self.scripts), "events": len(self.memory.events), "results": len(self.memory.results), "vertices": sum(counts[n] for n in VERTEX), "edges": sum(counts[n] for n in EDGE), "tables": counts}
         write_text(self.spark, f"{self.path}/manifest.json", json.dumps(summary))
         return summary | {"path": self.path, "duration_ms": int((time.time() - self.began) * 1000)}
@@ -69,16 +70,31 @@ def open_session(spark: SparkSession, path: str) -> BundleSession:
 
 
 def checked(columns: list[str], name: str) -> None:
-    """The first columns must be the key."""
+    """The first columns must be the key, and the others those of the table."""
     want = ["vid"] if name in VERTEX else ["src", "dst", "rank"]
     if columns[: len(want)] != want:
         raise ValueError(f"{name} begins with {columns[: len(want)]}, expected {want}")
+    if columns != {**VERTEX, **EDGE}[name].names:
+        raise ValueError(f"{name} has the columns {columns}, expected {({**VERTEX, **EDGE}[name]).names}")
+
+
+def declared(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Columns of each table by the bundle's own schema text, keys first."""
+    text = spark.read.text(f"{path.rstrip('/')}/schema.ddl", wholetext=True).collect()[0][0]
+    found = re.findall(r"CREATE (TAG|EDGE) IF NOT EXISTS `(\w+)` \((.*)\);", text)
+    return {name: [*(["vid"] if kind == "TAG" else ["src", "dst", "rank"]), *re.findall(r"`(\w+)`", fields)] for kind, name, fields in found}
 
 
 def read_table(spark: SparkSession, path: str, name: str, partitions: int | None = None) -> DataFrame:
-    shape = {**VERTEX, **EDGE}[name]
-    checked(shape.names, name)
-    df = spark.read.schema(shape).options(**READ).csv(f"{path.rstrip('/')}/{folder(name)}")
+    """A table of the bundle, after its declared columns and the width of its records have been looked at."""
+    shape, at = {**VERTEX, **EDGE}[name], f"{path.rstrip('/')}/{folder(name)}"
+    if (columns := declared(spark, path).get(name)) is None:
+        raise ValueError(f"the bundle's schema declares no {name}")
+    checked(columns, name)
+    first = spark.read.options(**READ).csv(at).limit(1)
+    if first.columns and len(first.columns) != len(shape):
+        raise ValueError(f"{name} has records of {len(first.columns)} fields, expected {len(shape)}")
+    df = spark.read.schema(shape).options(**READ).csv(at)
     return df.repartition(partitions) if partitions else df
 
 

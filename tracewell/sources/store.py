@@ -1,7 +1,9 @@
 """Where the lineage graph is kept: in memory, or as Parquet with cheap appends.
 
-A write only appends its own rows, stamped with a rising number; a read keeps the latest row of each key (vertices: vid;
-edges: src, dst, rank) by a partial aggregate; `compact` rewrites a table once when that pays.
+A write only adds a batch, a folder of its own rows, stamped with a rising number; a read keeps the latest row of each key
+(vertices: vid; edges: src, dst, rank) by a partial aggregate; `compact` merges a table's batches into one when that
+pays. A merged batch names those that it stands for in a file that appears by one rename: readers see either them or it,
+and a batch that was added meanwhile stays.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ class ParquetStore:
         """Add rows of any of the kept tables; later sequence numbers win."""
         sequence = time.time_ns() if sequence is None else sequence
         for name, df in frames.items():
-            reconciled(df, TABLES[name]).withColumn(STAMP, F.lit(sequence).cast("bigint")).write.mode("append").parquet(f"{self.path}/{name}")
+            reconciled(df, TABLES[name]).withColumn(STAMP, F.lit(sequence).cast("bigint")).write.parquet(f"{self.path}/{name}/batch-{uuid.uuid4().hex}")
 
     def save_capture(self, event: dict) -> None:
         self.spark.createDataFrame([event], EVENT).write.mode("append").parquet(f"{self.path}/event")
@@ -139,31 +141,65 @@ class ParquetStore:
         e = self.spark.read.schema(EVENT).parquet(f"{self.path}/event")
         return graph.merge_latest(e.limit(0), e, ["event_id"], ["capture_time_ms"], "first")
 
-    def table(self, name: str) -> DataFrame:
-        shape = TABLES[name]
+    def batches(self, name: str) -> list[str]:
+        """Whole batches of a table that no merged one stands for."""
+        fs, path = self._fs()
         if not self._exists(name):
+            return []
+        found = {f.getPath().getName() for f in fs.listStatus(path(f"{self.path}/{name}"))}
+        gone: set[str] = set()
+        for f in sorted(found):
+            if f.startswith("replaced-"):
+                gone |= {r[0] for r in self.spark.read.text(f"{self.path}/{name}/{f}").collect()}
+        # A merged batch counts once its file of replaced ones is there.
+        return sorted(f for f in found if (f.startswith("batch-") or f.startswith("merged-") and f"replaced-{f}" in found) and f not in gone and fs.exists(path(f"{self.path}/{name}/{f}/_SUCCESS")))
+
+    def _rows(self, name: str, batches: list[str]) -> DataFrame:
+        """The latest row of each key, with its stamp."""
+        shape = T.StructType([*TABLES[name].fields, T.StructField(STAMP, T.LongType())])
+        if not batches:
             return self.spark.createDataFrame([], shape)
-        rows = self.spark.read.schema(T.StructType([*shape.fields, T.StructField(STAMP, T.LongType())])).parquet(f"{self.path}/{name}")
-        return graph.merge_latest(rows.limit(0), rows, keys_of(name), [STAMP]).drop(STAMP)
+        rows = self.spark.read.schema(shape).parquet(*(f"{self.path}/{name}/{b}" for b in batches))
+        return graph.merge_latest(rows.limit(0), rows, keys_of(name), [STAMP])
+
+    def table(self, name: str) -> DataFrame:
+        return self._rows(name, self.batches(name)).drop(STAMP)
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in TABLES}
 
+    def insert(self, name: str, rows: DataFrame) -> None:
+        """Add rows whose keys are not there yet; others stay as they are."""
+        self.append({name: rows.join(self.table(name).select(*keys_of(name)), keys_of(name), "left_anti")})
+
+    def update(self, name: str, rows: DataFrame) -> None:
+        """Change rows whose keys are there: the columns of rows take its values, the others stay. Other rows do nothing."""
+        keys, old = keys_of(name), self.table(name)
+        new = rows.select(*keys, F.struct(*(c for c in rows.columns if c not in keys)).alias("_new"))
+        fresh = [c for c in rows.columns if c not in keys]
+        changed = old.join(new, keys).select(*keys, *((F.col("_new")[c] if c in fresh else F.col(c)).alias(c) for c in old.columns if c not in keys))
+        self.append({name: changed})
+
     def remove(self, name: str, keys: DataFrame) -> None:
         """Delete the given keys from a table (a rewrite of what stays)."""
-        self._replace(name, self.table(name).join(keys, keys_of(name), "left_anti"))
+        self._replace(name, lambda rows: rows.join(keys, keys_of(name), "left_anti"))
 
     def compact(self, name: str) -> None:
-        self._replace(name, self.table(name))
+        self._replace(name, lambda rows: rows)
 
-    def _replace(self, name: str, df: DataFrame) -> None:
+    def _replace(self, name: str, change) -> None:
         fs, path = self._fs()
-        fresh, old = f"{self.path}/.{name}-{uuid.uuid4().hex}", f"{self.path}/.{name}-old-{uuid.uuid4().hex}"
-        df.withColumn(STAMP, F.lit(time.time_ns()).cast("bigint")).write.parquet(fresh)
-        if fs.exists(path(f"{self.path}/{name}")):
-            fs.rename(path(f"{self.path}/{name}"), path(old))
-        fs.rename(path(fresh), path(f"{self.path}/{name}"))
-        fs.delete(path(old), True)
+        old = self.batches(name)
+        merged = f"merged-{uuid.uuid4().hex}"
+        change(self._rows(name, old)).write.parquet(f"{self.path}/{name}/{merged}")
+        draft = path(f"{self.path}/{name}/.{merged}")
+        out = fs.create(draft, True)
+        out.write(bytearray("\n".join(old).encode()))
+        out.close()
+        fs.rename(draft, path(f"{self.path}/{name}/replaced-{merged}"))
+        for b in old:
+            fs.delete(path(f"{self.path}/{name}/{b}"), True)
+            fs.delete(path(f"{self.path}/{name}/replaced-{b}"), False)
 
     def clear(self) -> None:
         fs, path = self._fs()

@@ -15,17 +15,25 @@ from tracewell.plans.reader import Reader
 
 log = logging.getLogger(__name__)
 _CONTEXT: contextvars.ContextVar[TaskContext | None] = contextvars.ContextVar("task_context", default=None)
+#: Tasks that run in this process now, for callbacks on Spark's thread; and the listeners that they wait for.
+_RUNNING: list[TaskContext] = []
+_LISTENERS: list[Listener] = []
 PREFIX = "spark.tracewell.task."
 _FIELDS = {"task_id": "id", "task_name": "name", "run_id": "runId", "biz_date": "bizDate", "owner": "owner", "script_path": "scriptPath"}
 
 
 @contextlib.contextmanager
 def task(**fields: str) -> Iterator[TaskContext]:
-    """Statements inside run as this task."""
-    token = _CONTEXT.set(TaskContext(**fields))
+    """Statements inside run as this task. With a listener, the end waits until the events of these have been delivered."""
+    context = TaskContext(**fields)
+    token = _CONTEXT.set(context)
+    _RUNNING.append(context)
     try:
-        yield _CONTEXT.get()
+        yield context
     finally:
+        for listener in list(_LISTENERS):
+            listener.drain()
+        _RUNNING.remove(context)
         _CONTEXT.reset(token)
 
 
@@ -34,7 +42,7 @@ def current_context(spark: SparkSession) -> TaskContext:
     sc = spark.sparkContext
     local = TaskContext(**{k: sc.getLocalProperty(PREFIX + v) for k, v in _FIELDS.items()})
     conf = TaskContext(**{k: spark.conf.get(PREFIX + v, None) for k, v in _FIELDS.items()})
-    return (_CONTEXT.get() or TaskContext()).merged(local).merged(conf)
+    return (_CONTEXT.get() or (_RUNNING[-1] if _RUNNING else TaskContext())).merged(local).merged(conf)
 
 
 class Capture:
@@ -82,30 +90,40 @@ class Capture:
 
 class Listener:
     """A QueryExecutionListener over Py4J. Callbacks come on Spark's listener thread, one for each of a statement's
-    executions: nested writes repeat a plan, so equal plans are captured once."""
+    executions: nested writes repeat a plan, so equal plans of a task are captured once. The task is asked for at every
+    event: of what runs in this process, else of the session's configuration."""
 
     def __init__(self, capture: Capture):
-        self.capture, self.context, self.seen = capture, current_context(capture.spark), set()
+        self.capture, self.seen = capture, set()
 
     def register(self) -> Listener:
         from pyspark.java_gateway import ensure_callback_server_started
 
         ensure_callback_server_started(self.capture.spark.sparkContext._gateway)
         self.capture.spark._jsparkSession.listenerManager().register(self)
+        _LISTENERS.append(self)
         return self
 
+    def drain(self, most_ms: int = 20_000) -> None:
+        """Wait until Spark has delivered the events of what has ended."""
+        with contextlib.suppress(Exception):
+            self.capture.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(most_ms)
+
     def unregister(self) -> None:
         self.capture.spark._jsparkSession.listenerManager().unregister(self)
+        if self in _LISTENERS:
+            _LISTENERS.remove(self)
 
     def onSuccess(self, func, execution, duration):  # noqa: N802  the JVM interface's names
         try:
             c, analyzed = self.capture, execution.analyzed()
             plan = c.reader.plan(analyzed)
-            print_of = (tuple(p.kind for p in plan.walk()), tuple(p.target.normalized for p in plan.walk() if p.target), analyzed.toString())
+            context = current_context(c.spark)
+            print_of = (context, tuple(p.kind for p in plan.walk()), tuple(p.target.normalized for p in plan.walk() if p.target), analyzed.toString())
             if print_of in self.seen:
                 return
             self.seen.add(print_of)
-            result = parse_plan(c.spark, c.reader, execution.logical(), analyzed, self.context, None, func, None, "SUCCESS", duration)
+            result = parse_plan(c.spark, c.reader, execution.logical(), analyzed, context, None, func, None, "SUCCESS", duration)
             c.store.save_capture(result.event)
             c.store.save_lineage(result)
         except Exception:
