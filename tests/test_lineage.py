@@ -8,59 +8,51 @@ from pyspark.sql import functions as F
 from tracewell.operators.graph import closure, leaf_sources, paths
 from tracewell.plans.lineage import TaskContext, column_lineage, lineage_of, parse, runtime_event_id
 
-DATES = "dt STRING"
-TABLES = {
-    "ods.ods_order_event_di": f"{DATES}, order_id BIGINT, shop_id BIGINT, user_id BIGINT, order_status STRING, order_amount DECIMAL(18,2), discount_amount DECIMAL(18,2), event_time TIMESTAMP",
-    "ods.ods_pay_event_di": f"{DATES}, pay_id BIGINT, order_id BIGINT, pay_status STRING, pay_amount DECIMAL(18,2), pay_time TIMESTAMP",
-    "ods.ods_refund_event_di": f"{DATES}, refund_id BIGINT, order_id BIGINT, refund_status STRING, refund_amount DECIMAL(18,2), apply_time TIMESTAMP",
-    "dim.dim_shop_region_snapshot": f"shop_id BIGINT, shop_name STRING, region_name STRING, shop_type STRING, operation_owner STRING, city_tier STRING, {DATES}",
-    "dim.dim_user_tag_snapshot": f"user_id BIGINT, user_tag STRING, member_level STRING, {DATES}",
-    "dwd.dwd_trade_order_detail_di": "biz_date STRING, order_id BIGINT, shop_id BIGINT, shop_name STRING, region_name STRING, user_id BIGINT, order_status STRING, pay_amount DECIMAL(28,2), pay_success_cnt BIGINT, is_paid INT, amount_band STRING",
-    "dwd.dwd_trade_refund_detail_di": "biz_date STRING, refund_id BIGINT, order_id BIGINT, shop_id BIGINT, user_id BIGINT, refund_amount DECIMAL(18,2), valid_refund_flag INT",
-    "dws.dws_shop_trade_day_1d": "biz_date STRING, shop_id BIGINT, shop_name STRING, region_name STRING, order_cnt BIGINT, paid_order_cnt BIGINT, paid_gmv DECIMAL(38,2), refund_amount DECIMAL(38,2)",
-    "dws.dws_user_trade_day_1d": "biz_date STRING, user_id BIGINT, last_shop_id BIGINT, paid_gmv DECIMAL(38,2), vip_user_flag INT",
-    "ads.ads_shop_trade_dashboard_di": "biz_date STRING, shop_id BIGINT, shop_name STRING, operation_owner STRING, net_paid_gmv DECIMAL(38,2), vip_buyer_cnt BIGINT, pay_rate DOUBLE, refund_rate DOUBLE",
+#: Targets of chained jobs over the driver's tables.
+TARGETS = {
+    "order_facts": "order_key BIGINT, cust_key BIGINT, segment STRING, revenue DOUBLE, n_lines BIGINT, size STRING",
+    "return_facts": "order_key BIGINT, supp_key BIGINT, refund DOUBLE, segment STRING",
+    "segment_totals": "segment STRING, n_orders BIGINT, revenue DOUBLE, refund DOUBLE",
+    "nation_returns": "nation STRING, region STRING, refund DOUBLE, any_large INT",
+    "board": "segment STRING, net DOUBLE, refund_share DOUBLE, worst_nation DOUBLE",
 }
 JOBS = {
-    "dwd.dwd_trade_order_detail_di": """INSERT OVERWRITE TABLE dwd.dwd_trade_order_detail_di
-        SELECT '2026-03-20', o.order_id, o.shop_id, s.shop_name, s.region_name, o.user_id, o.order_status, coalesce(p.amount, 0), p.n, if(p.n > 0, 1, 0),
-          CASE WHEN o.order_amount >= 100 THEN 'high' ELSE 'low' END
-        FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY event_time DESC) AS rn FROM ods.ods_order_event_di WHERE dt = '2026-03-20') o
-        LEFT JOIN (SELECT order_id, sum(pay_amount) AS amount, count(*) AS n FROM ods.ods_pay_event_di WHERE pay_status = 'SUCCESS' GROUP BY order_id) p ON o.order_id = p.order_id
-        LEFT JOIN dim.dim_shop_region_snapshot s ON o.shop_id = s.shop_id AND s.dt = '2026-03-20'
-        WHERE o.rn = 1 AND o.order_status IN ('PAID', 'SIGNED')""",
-    "dwd.dwd_trade_refund_detail_di": """INSERT OVERWRITE TABLE dwd.dwd_trade_refund_detail_di
-        SELECT '2026-03-20', r.refund_id, r.order_id, d.shop_id, d.user_id, r.refund_amount, CASE WHEN r.refund_status = 'DONE' THEN 1 ELSE 0 END
-        FROM ods.ods_refund_event_di r JOIN dwd.dwd_trade_order_detail_di d ON r.order_id = d.order_id""",
-    "dws.dws_shop_trade_day_1d": """INSERT OVERWRITE TABLE dws.dws_shop_trade_day_1d
-        SELECT d.biz_date, d.shop_id, max(d.shop_name), max(d.region_name), count(DISTINCT d.order_id), sum(d.is_paid), sum(CASE WHEN d.is_paid = 1 THEN d.pay_amount END), sum(r.refund_amount)
-        FROM dwd.dwd_trade_order_detail_di d LEFT JOIN dwd.dwd_trade_refund_detail_di r ON d.order_id = r.order_id GROUP BY d.biz_date, d.shop_id""",
-    "dws.dws_user_trade_day_1d": """INSERT OVERWRITE TABLE dws.dws_user_trade_day_1d
-        SELECT d.biz_date, d.user_id, max(d.shop_id), sum(d.pay_amount), max(CASE WHEN u.member_level = 'VIP' THEN 1 ELSE 0 END)
-        FROM dwd.dwd_trade_order_detail_di d LEFT JOIN dim.dim_user_tag_snapshot u ON d.user_id = u.user_id GROUP BY d.biz_date, d.user_id""",
-    "ads.ads_shop_trade_dashboard_di": """INSERT OVERWRITE TABLE ads.ads_shop_trade_dashboard_di
-        SELECT t.biz_date, t.shop_id, t.shop_name, s.operation_owner, t.paid_gmv - coalesce(t.refund_amount, 0), u.vips,
-          round(t.paid_order_cnt / nullif(t.order_cnt, 0), 4), round(CAST(t.refund_amount / nullif(t.paid_gmv, 0) AS DOUBLE), 4)
-        FROM dws.dws_shop_trade_day_1d t LEFT JOIN dim.dim_shop_region_snapshot s ON t.shop_id = s.shop_id
-        LEFT JOIN (SELECT last_shop_id, sum(vip_user_flag) AS vips FROM dws.dws_user_trade_day_1d GROUP BY last_shop_id) u ON t.shop_id = u.last_shop_id""",
+    "order_facts": """SELECT o.o_orderkey, o.o_custkey, c.c_mktsegment, coalesce(l.revenue, 0), l.n, CASE WHEN o.o_totalprice >= 1000 THEN 'large' ELSE 'small' END
+        FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS age FROM orders WHERE o_orderstatus <> 'P') o
+        LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS revenue, count(*) AS n FROM lineitem WHERE l_quantity > 0 GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey
+        LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.age <= 3""",
+    "return_facts": "SELECT l.l_orderkey, l.l_suppkey, l.l_extendedprice * (1 - l.l_discount), f.segment FROM lineitem l JOIN order_facts f ON l.l_orderkey = f.order_key WHERE l.l_returnflag = 'R'",
+    "segment_totals": "SELECT f.segment, count(DISTINCT f.order_key), sum(CASE WHEN f.size = 'large' THEN f.revenue END), max(r.refund) FROM order_facts f LEFT JOIN return_facts r ON f.order_key = r.order_key GROUP BY f.segment",
+    "nation_returns": "SELECT n.n_name, min(g.r_name), sum(r.refund), max(if(r.refund > 500, 1, 0)) FROM return_facts r JOIN supplier s ON r.supp_key = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region g ON n.n_regionkey = g.r_regionkey GROUP BY n.n_name",
+    "board": "SELECT t.segment, t.revenue - coalesce(t.refund, 0), round(t.refund / nullif(t.revenue, 0), 4), w.top FROM segment_totals t CROSS JOIN (SELECT max(refund) AS top FROM nation_returns WHERE any_large = 1) w",
 }
-INPUTS = {
-    "dwd.dwd_trade_order_detail_di": {"dim.dim_shop_region_snapshot", "ods.ods_order_event_di", "ods.ods_pay_event_di"},
-    "dwd.dwd_trade_refund_detail_di": {"dwd.dwd_trade_order_detail_di", "ods.ods_refund_event_di"},
-    "dws.dws_shop_trade_day_1d": {"dwd.dwd_trade_order_detail_di", "dwd.dwd_trade_refund_detail_di"},
-    "dws.dws_user_trade_day_1d": {"dim.dim_user_tag_snapshot", "dwd.dwd_trade_order_detail_di"},
-    "ads.ads_shop_trade_dashboard_di": {"dim.dim_shop_region_snapshot", "dws.dws_shop_trade_day_1d", "dws.dws_user_trade_day_1d"},
+#: What each output is made of, written down column by column.
+MADE_OF = {
+    "order_facts": {"order_key": "orders.o_orderkey", "cust_key": "orders.o_custkey", "segment": "customer.c_mktsegment", "revenue": "lineitem.l_extendedprice", "size": "orders.o_totalprice"},
+    "return_facts": {"order_key": "lineitem.l_orderkey", "supp_key": "lineitem.l_suppkey", "refund": "lineitem.l_extendedprice lineitem.l_discount", "segment": "order_facts.segment"},
+    "segment_totals": {"segment": "order_facts.segment", "n_orders": "order_facts.order_key", "revenue": "order_facts.size order_facts.revenue", "refund": "return_facts.refund"},
+    "nation_returns": {"nation": "nation.n_name", "region": "region.r_name", "refund": "return_facts.refund", "any_large": "return_facts.refund"},
+    "board": {"segment": "segment_totals.segment", "net": "segment_totals.revenue segment_totals.refund", "refund_share": "segment_totals.revenue segment_totals.refund", "worst_nation": "nation_returns.refund"},
 }
+READS = {"order_facts": "orders lineitem customer", "return_facts": "lineitem order_facts", "segment_totals": "order_facts return_facts", "nation_returns": "return_facts supplier nation region", "board": "segment_totals nation_returns"}
 
 
 @pytest.fixture(scope="module")
-def warehouse(spark):
-    for name, columns in TABLES.items():
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name.split('.')[0]}")
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
-    yield spark
-    for name in TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+def chain(spark, data, tmp_path_factory):
+    """Views of the driver's tables, the targets as tables, and the lineage of every job."""
+    for name in ("customer", "orders", "lineitem", "supplier", "nation", "region"):
+        spark.read.parquet(f"{data}/{name}.parquet").createOrReplaceTempView(name)
+    folder = tmp_path_factory.mktemp("targets")
+    for name, columns in TARGETS.items():
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{folder}/{name}'")
+    yield {name: parse(spark, f"INSERT OVERWRITE TABLE {name} {job}") for name, job in JOBS.items()}
+    for name in TARGETS:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def full(names: str) -> set[str]:
+    """Targets are tables of the default database, all others are views."""
+    return {f"default.{n}" if n.split(".")[0] in TARGETS else n for n in names.split()}
 
 
 def sources(result) -> dict[str, set[str]]:
@@ -71,47 +63,46 @@ def sources(result) -> dict[str, set[str]]:
 
 
 @pytest.mark.parametrize("target", JOBS)
-def test_layered_jobs_have_their_inputs(warehouse, target):
-    result = parse(warehouse, JOBS[target])
-    tables = result.rows["table_ref"]
-    assert {t["normalized_name"] for t in tables if t["usage"] == "input"} == INPUTS[target]
-    assert [t["normalized_name"] for t in tables if t["usage"] == "output"] == [target]
-    assert result.rows["warning"] == [] and {e["source"] for e in result.rows["table_edge"]} == INPUTS[target]
-
-
-def test_layered_jobs_have_their_columns(warehouse):
-    user = sources(parse(warehouse, JOBS["dws.dws_user_trade_day_1d"]))
-    assert user["vip_user_flag"] == {"dim.dim_user_tag_snapshot.member_level"}
-    board = sources(parse(warehouse, JOBS["ads.ads_shop_trade_dashboard_di"]))
-    assert board["net_paid_gmv"] == {"dws.dws_shop_trade_day_1d.paid_gmv", "dws.dws_shop_trade_day_1d.refund_amount"}
-    assert board["pay_rate"] == {"dws.dws_shop_trade_day_1d.paid_order_cnt", "dws.dws_shop_trade_day_1d.order_cnt"}
-    assert board["refund_rate"] and board["vip_buyer_cnt"] == {"dws.dws_user_trade_day_1d.vip_user_flag"}
-    order = sources(parse(warehouse, JOBS["dwd.dwd_trade_order_detail_di"]))
-    assert order["pay_amount"] == {"ods.ods_pay_event_di.pay_amount"} and order["shop_name"] == {"dim.dim_shop_region_snapshot.shop_name"}
-
-
-def test_join_and_filter(spark):
-    for name, columns in {"order_detail": "dt STRING, order_id STRING, shop_id STRING, order_status STRING, amount DECIMAL(18,2)", "payment_detail": "order_id STRING, pay_status STRING", "shop": "shop_id STRING, shop_name STRING", "metric": "dt STRING, shop_name STRING, paid_amount DECIMAL(28,2)"}.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
-    rows = parse(spark, "INSERT OVERWRITE TABLE metric SELECT o.dt, s.shop_name, sum(CASE WHEN p.pay_status = 'SUCCESS' THEN o.amount ELSE 0 END) FROM order_detail o LEFT JOIN payment_detail p ON o.order_id = p.order_id LEFT JOIN shop s ON o.shop_id = s.shop_id WHERE o.order_status = 'PAID' AND o.dt = '2026-03-20' GROUP BY o.dt, s.shop_name").rows
-    assert {(o["operator_type"], o["operator_sub_type"]) for o in rows["operator_instance"]} >= {("join", "left outer"), ("filter", "where"), ("aggregate", None)}
-    assert {p["predicate_type"] for p in rows["predicate"]} == {"JOIN", "FILTER"} and len(rows["predicate"]) == 3
+def test_jobs_have_their_tables(chain, target):
+    rows = chain[target].rows
+    by_usage = {u: {t["normalized_name"] for t in rows["table_ref"] if t["usage"] == u} for u in ("input", "output")}
+    assert by_usage == {"input": full(READS[target]), "output": {f"default.{target}"}}
+    assert {(e["source"], e["target"], e["write_mode"]) for e in rows["table_edge"]} == {(s, f"default.{target}", "INSERT") for s in full(READS[target])}
+    assert rows["warning"] == []
+
+
+@pytest.mark.parametrize("target", JOBS)
+def test_jobs_have_their_columns(chain, target):
+    assert {c: s for c, s in sources(chain[target]).items() if c in MADE_OF[target]} == {c: full(s) for c, s in MADE_OF[target].items()}
+
+
+def test_tables_of_the_chain_lead_back_to_the_first_ones(spark, chain):
+    edges = spark.createDataFrame([(e["source"], e["target"]) for r in chain.values() for e in r.rows["table_edge"]], "src string, dst string")
+    leaves = leaf_sources(edges, spark.createDataFrame([("default.board",)], "seed string"))
+    assert {r["leaf"] for r in leaves.collect()} == {"orders", "lineitem", "customer", "supplier", "nation", "region"}
+
+
+def test_join_and_filter(spark, chain):
+    rows = chain["order_facts"].rows
+    kinds = {(o["operator_type"], o["operator_sub_type"]) for o in rows["operator_instance"]}
+    assert kinds >= {("join", "left outer"), ("filter", "where"), ("aggregate", None), ("window", None)}
+    assert sorted(p["predicate_type"] for p in rows["predicate"]) == ["FILTER"] * 3 + ["JOIN"] * 2
     roles = {e["role"] for e in rows["edge"]}
-    assert {"left_input", "right_input", "join_condition", "filter_condition", "leftouter_join", "group_key", "aggregate_expression", "of_table"} <= roles
-    assert len([t for t in rows["table_ref"] if t["usage"] == "input"]) == 3
-
-
-def test_named_plans(spark):
-    for name, columns in {"income": "month STRING, store_id STRING, gmv DECIMAL(18,2)", "price": "stat_month STRING, n DECIMAL(18,2), m DECIMAL(18,2), dt STRING"}.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
-    sql = """WITH t2 AS (SELECT stat_month, n, m FROM price WHERE dt = '1'), t_income AS (SELECT month, store_id, sum(gmv) AS g FROM income GROUP BY month, store_id),
-      rpc AS (SELECT a.month, a.store_id, sum(a.g * b.n / b.m) AS v FROM t_income a LEFT JOIN t2 b ON a.month = b.stat_month GROUP BY a.month, a.store_id) SELECT month, store_id, v FROM rpc"""
-    rows = parse(spark, sql).rows
-    assert {s["scope_name"] for s in rows["scope"] if s["scope_type"] == "CTE"} == {"t2", "t_income", "rpc"}
-    named = {r["instance_name"] for r in rows["relation_instance"] if r["source_type"] == "named_plan"}
-    assert {"a", "b", "rpc"} <= named
-    assert any(p["normalized_predicate"] == "(a.month = b.stat_month)" and p["predicate_role"] == "join_on" for p in rows["predicate"])
-    assert sources(parse(spark, sql))["v"] == {"income.gmv", "price.n", "price.m"} or sources(parse(spark, sql))["v"] == {"default.income.gmv", "default.price.n", "default.price.m"}
+    assert {"left_input", "right_input", "join_condition", "filter_condition", "leftouter_join", "group_key", "aggregate_expression"} <= roles
+
+
+def test_named_plans(spark, chain):
+    sql = """WITH rate AS (SELECT n_regionkey AS r, max(n_nationkey) AS top FROM nation WHERE n_name > 'A' GROUP BY n_regionkey), spent AS (SELECT s_nationkey, sum(s_acctbal) AS total FROM supplier GROUP BY s_nationkey),
+      shares AS (SELECT p.s_nationkey AS k, p.total / q.top AS share FROM spent p LEFT JOIN rate q ON p.s_nationkey = q.r) SELECT k, share FROM shares"""
+    result = parse(spark, sql)
+    assert {s["scope_name"] for s in result.rows["scope"] if s["scope_type"] == "CTE"} == {"rate", "spent", "shares"}
+    assert {"p", "q", "shares"} <= {r["instance_name"] for r in result.rows["relation_instance"] if r["source_type"] == "named_plan"}
+    assert {("(p.s_nationkey = q.r)", "join_on"), ("(nation.n_name > 'a')", "where")} <= {(p["normalized_predicate"], p["predicate_role"]) for p in result.rows["predicate"]}
+    assert sources(result) == {"k": {"supplier.s_nationkey"}, "share": {"supplier.s_acctbal", "nation.n_nationkey"}}
+
+
+def test_a_view_is_made_of_its_query(spark, chain):
+    assert parse(spark, "CREATE VIEW never_made AS SELECT n_name FROM nation").statement_type == "CREATE_VIEW_COMMAND"
 
 
 def test_producers_and_derived_facts(spark, data):

@@ -236,3 +236,40 @@ def test_command_line(ready, folder, capsys):
     assert '"tables": 20' in run("import-bundle", f"{folder}/out")
     run("clear")
     assert ParquetStore(ready, store).table("table_node").count() == 0
+
+
+def test_appends_beside_a_compaction_stay(ready, tmp_path, monkeypatch):
+    store = ParquetStore(ready, f"{tmp_path}/store")
+    row = lambda x: ready.createDataFrame([(f"table:{x}", x)], "vid string, name string")
+    store.append({"table_node": row("a")})
+    store.append({"table_node": row("b")})
+    rows = store._rows
+
+    def meanwhile(name, batches):
+        out = rows(name, batches)
+        monkeypatch.setattr(store, "_rows", rows)
+        store.append({"table_node": row("c")})
+        return out
+
+    monkeypatch.setattr(store, "_rows", meanwhile)
+    store.compact("table_node")
+    assert sorted(r["name"] for r in store.table("table_node").collect()) == ["a", "b", "c"]
+    assert len(store.batches("table_node")) == 2
+
+
+def test_a_merged_batch_counts_once_it_is_announced(ready, tmp_path):
+    store = ParquetStore(ready, f"{tmp_path}/store")
+    store.append({"table_node": ready.createDataFrame([("table:a", "a")], "vid string, name string")})
+    store._rows("table_node", store.batches("table_node")).write.parquet(f"{store.path}/table_node/merged-x")  # a run that died here
+    assert store.batches("table_node") and all(b.startswith("batch-") for b in store.batches("table_node"))
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracewell.sources.shared import shared_dir
+
+    none = SimpleNamespace(get=lambda *a: None)
+    spark = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(spark)

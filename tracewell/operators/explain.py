@@ -154,8 +154,34 @@ class Explainer:
             "predicates": sorted(({"sql": r["predicate_sql"], "role": r["role"], "kind": r["predicate_role"]} for r in self.filters(reached, anchor).collect()), key=lambda p: (p["kind"], p["sql"], p["role"])),
             "joins": sorted({f" {r['role']} ".join(sorted((shown.get(r["a"], r["a"]), shown.get(r["b"], r["b"])))) for r in self.joins(reached, anchor).collect()}),
             "relations": sorted({r["source_table_id"] for r in relations.values()}),
+            "value_path": self.value_path(own, anchor, expressions),
+            "conditions": self.conditions(reached, anchor, shown),
         }
 
+    def value_path(self, own: DataFrame, anchor: str | None, expressions: list[dict]) -> list[dict]:
+        """Steps from source columns over expressions to the field, along values alone: step 0 is what nothing feeds."""
+        flow = self.flow(anchor).filter(F.col("kind").isin(*_VALUE)).select("src", "dst")
+        walked = graph.closure(flow, self.instances(own).select(F.col("vid").alias("seed")))
+        depth = {r["node"]: r["depth"] for r in walked.groupBy("node").agg(F.max("depth").alias("depth")).collect()}
+        known = {e["id"]: e for e in expressions}
+        columns = self.of(walked, "column_instance_node").select("vid", "column_id", "instance_type").collect()
+        read = [r for r in columns if r["instance_type"] != "OUTPUT" and not r["column_id"].startswith("scope:")]
+        nodes = [(depth[r["vid"]], "column", r["column_id"]) for r in read] + [(d, known[n]["category"], known[n]["sql"]) for n, d in depth.items() if n in known]
+        order = {d: k for k, d in enumerate(sorted({d for d, *_ in nodes}, reverse=True))}
+        field = own.first()["name"]
+        return [{"step": order[d], "kind": kind, "shown": text, "into": field} for d, kind, text in sorted(set(nodes), key=lambda x: (order[x[0]], x[1:]))]
+
+    def conditions(self, reached: DataFrame, anchor: str | None, shown: dict[str, str]) -> list[dict]:
+        """Filters and join conditions on the way, each with the relations that it is about."""
+        found = {}
+        for r in self.filters(reached, anchor).collect():
+            found[r["vid"], r["role"]] = {"kind": r["predicate_role"], "role": r["role"], "sql": r["predicate_sql"], "relations": []}
+        about = self.edges("latest_relation_instance_flows_to_predicate", anchor).select("src", F.col("dst").alias("vid"), "role").distinct()
+        for r in about.join(reached.sparkSession.createDataFrame([(v,) for v, _ in found], "vid string").distinct(), "vid").collect() if found else []:
+            if (r["vid"], r["role"]) in found:
+                found[r["vid"], r["role"]]["relations"].append(shown.get(r["src"], r["src"]))
+        return [c | {"relations": sorted(set(c["relations"]))} for c in sorted(found.values(), key=lambda c: (c["kind"], c["sql"], c["role"]))]
+
     def tree(self, table: str, column: str) -> str:
         """Indented upstream walk, each node printed once."""
         own = self.column(table, column)

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import graph
 from tracewell.operators.registry import Registry, Tables
+from tracewell.plans import classify
 from tracewell.plans.lineage import column_lineage, lineage_of, parse
 from tracewell.plans.schema import RESULT
+from tracewell.sources.shared import own_folder
 
 REGISTRY = Registry()
+ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 JOIN_FILTER = "SELECT c.c_mktsegment AS segment, sum(CASE WHEN o.o_orderstatus = 'F' THEN o.o_totalprice ELSE 0 END) AS paid, count(DISTINCT o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_acctbal > 0 GROUP BY c.c_mktsegment"
 STATEMENTS = {
@@ -25,6 +28,9 @@ STATEMENTS = {
     "functions": "SELECT coalesce(nullif(c_mktsegment, 'X'), 'none') AS segment, CAST(c_acctbal AS BIGINT) AS whole, concat_ws('-', c_name, c_mktsegment) AS both, 1 AS one FROM customer",
     "having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 3",
     "set_operations": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+    "ordered": "SELECT DISTINCT upper(x) AS word FROM customer LATERAL VIEW explode(split(c_name, '#')) e AS x WHERE c_acctbal > 0 ORDER BY word LIMIT 5",
+    "ranked": "SELECT sum(o_totalprice * 2) + 1 AS total, row_number() OVER (ORDER BY max(o_orderdate)) AS rn FROM orders GROUP BY o_custkey",
+    "udf": "SELECT plain_udf(c_name) AS seen, c_custkey AS k FROM customer",
     "grouping_sets": "SELECT o_orderstatus, o_orderpriority, sum(o_totalprice) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
 }
 _SOURCES = {
@@ -66,6 +72,13 @@ def _rows(t: Tables, statement: str, kind: str) -> DataFrame:
     return graph.frames_of(spark, parse(spark, statement).rows, RESULT, [kind])[kind]
 
 
+def _frames(t: Tables, statement: str, *kinds: str) -> list[DataFrame]:
+    """Rows of several kinds of one reading, so that ids agree."""
+    spark = views(t)
+    frames = graph.frames_of(spark, parse(spark, statement).rows, RESULT, list(kinds))
+    return [frames[k] for k in kinds]
+
+
 def _fact(name: str, statement: str, kind: str, columns: list[str], expected: list[tuple]) -> None:
     REGISTRY.add(f"l_{name}", lambda t: _rows(t, STATEMENTS[statement], kind).select(*columns).distinct(), _values(expected, ", ".join(columns)))
 
@@ -86,6 +99,12 @@ _fact("expression_categories", "functions", "expression", ["expression_type", "c
 _fact("literals", "join_filter", "literal", ["literal_type", "literal_value"], [("string", "F"), ("int", "0")])
 
 
+_fact("operators_of_other_nodes", "ordered", "operator_instance", ["operator_type", "operator_path"], [("globallimit", "0"), ("locallimit", "0.0"), ("sort", "0.0.0"), ("distinct", "0.0.0.0"), ("project", "0.0.0.0.0"), ("filter", "0.0.0.0.0.0"), ("generate", "0.0.0.0.0.0.0")])
+_fact("columns_of_scopes", "ctes", "column", ["owner_type", "name"], [("TABLE", c) for c in ORDERS] + [("SCOPE", "k"), ("SCOPE", "total"), ("EXECUTION_OUTPUT", "k"), ("EXECUTION_OUTPUT", "both")])
+_fact("output_instances", "ctes", "column_instance", ["instance_type", "column_name", "ordinal"], [("OUTPUT", "k", 0), ("OUTPUT", "total", 1), ("OUTPUT", "both", 1), ("EXPRESSION_INPUT", "o_custkey", None), ("EXPRESSION_INPUT", "o_totalprice", None), ("EXPRESSION_INPUT", "k", None), ("EXPRESSION_INPUT", "total", None), ("PREDICATE_INPUT", "k", None), ("PREDICATE_INPUT", "total", None)])
+_fact("instance_roles", "ranked", "column_instance", ["instance_type", "column_name", "instance_role"], [("OUTPUT", "total", "output"), ("OUTPUT", "rn", "output"), ("EXPRESSION_INPUT", "o_custkey", "group_key"), ("EXPRESSION_INPUT", "o_totalprice", "agg_input"), ("EXPRESSION_INPUT", "o_orderdate", "agg_input")])
+
+
 def _edges(name: str, statement: str, types: list[str], expected: list[tuple]) -> None:
     def build(t: Tables) -> DataFrame:
         return _rows(t, STATEMENTS[statement], "edge").filter(F.col("edge_type").isin(*types)).groupBy("edge_type", "role").agg(F.count("*").alias("n"))
@@ -98,9 +117,56 @@ _edges("group_edges", "having", ["OPERATOR_TO_EXPRESSION"], [("OPERATOR_TO_EXPRE
 _edges("window_context", "window", ["COLUMN_TO_EXPRESSION"], [("COLUMN_TO_EXPRESSION", "source_column", 1), ("COLUMN_TO_EXPRESSION", "window_partition", 2), ("COLUMN_TO_EXPRESSION", "window_order", 1)])
 
 
+_edges("operator_edges", "join_filter", ["SCOPE_TO_OPERATOR_INSTANCE", "OPERATOR_TO_OPERATOR_INSTANCE"], [("SCOPE_TO_OPERATOR_INSTANCE", "contains_operator", 3), ("OPERATOR_TO_OPERATOR_INSTANCE", "child_operator", 2)])
+_edges("operator_inputs", "join_filter", ["OPERATOR_TO_RELATION_INSTANCE"], [("OPERATOR_TO_RELATION_INSTANCE", r, n) for r, n in (("reads_relation", 2), ("left_input", 1), ("right_input", 1), ("filter_input", 2), ("aggregate_input", 2))])
+_edges("operator_inputs_of_other_nodes", "ordered", ["OPERATOR_TO_RELATION_INSTANCE"], [("OPERATOR_TO_RELATION_INSTANCE", r, n) for r, n in (("reads_relation", 1), ("input", 6), ("filter_input", 1))])
+_edges("predicate_edges", "having", ["OPERATOR_TO_PREDICATE"], [("OPERATOR_TO_PREDICATE", "having_condition", 1)])
+_edges("flow_edge_types", "star", ["COLUMN_TO_COLUMN", "COLUMN_TO_EXPRESSION", "EXPRESSION_TO_COLUMN", "EXPRESSION_TO_EXPRESSION"], [("COLUMN_TO_COLUMN", "value", 4), ("COLUMN_TO_EXPRESSION", "source_column", 1), ("EXPRESSION_TO_COLUMN", "value", 1)])
+
+
+@REGISTRY.query(_values([("customer.c_mktsegment", "segment")], "source, name"))
+def l_direct_copies(t: Tables) -> DataFrame:
+    """A column taken as it is has no expression."""
+    rows = _rows(t, STATEMENTS["join_filter"], "edge").filter("edge_type = 'COLUMN_TO_COLUMN' and role = 'value'")
+    return rows.select("source", F.element_at(F.split("target", "[.]"), -1).alias("name"))
+
+
+@REGISTRY.query(_values([("explode(split(customer.c_name, '#', -1))", "upper(e.x)", "source_expression:0")], "inner_sql, outer_sql, role"))
+def l_expression_chain(t: Tables) -> DataFrame:
+    """An expression over what another made, not over a column."""
+    e, x = _frames(t, STATEMENTS["ordered"], "edge", "expression")
+    sql = lambda name: x.select(F.col("node_id").alias(name), F.col("display_sql").alias(f"{name}_sql"))
+    e = e.filter("edge_type = 'EXPRESSION_TO_EXPRESSION'").select(F.col("source").alias("inner"), F.col("target").alias("outer"), "role")
+    return e.join(sql("inner"), "inner").join(sql("outer"), "outer").select("inner_sql", "outer_sql", "role")
+
+
+@REGISTRY.query(_values([("left_name", "a", "n_name"), ("right_name", "b", "n_name")], "output, relation, read"))
+def l_instance_binding(t: Tables) -> DataFrame:
+    """Two reads of one table stay apart: each output reads the instance of its own relation."""
+    edge, inst, rel = _frames(t, STATEMENTS["self_join"], "edge", "column_instance", "relation_instance")
+    e = edge.filter("edge_type = 'COLUMN_INSTANCE_TO_COLUMN_INSTANCE'")
+    read = inst.select(F.col("node_id").alias("source"), F.col("column_name").alias("read"), "relation_instance_id")
+    return e.join(read, "source").join(inst.select(F.col("node_id").alias("target"), F.col("column_name").alias("output")), "target").join(rel.select(F.col("node_id").alias("relation_instance_id"), F.col("alias_name").alias("relation")), "relation_instance_id").select("output", "relation", "read")
+
+
+@REGISTRY.query(_values([("SELECT", "AGGREGATE", None), ("INSERT", "INSERT", "INSERT"), ("CREATE", "CREATE_TABLE_AS_SELECT", "CREATE"), ("VIEW", "CREATE_VIEW_COMMAND", "CREATE"), ("ORDER", "SORT", None)], "statement, statement_type, write_mode"))
+def l_statement_types(t: Tables) -> DataFrame:
+    spark = _written(t)
+    texts = {"SELECT": JOIN_FILTER, "INSERT": "INSERT INTO lineage_target_segment SELECT 'a', 1D, 2L", "CREATE": "CREATE TABLE lineage_never_made AS SELECT n_name FROM nation", "VIEW": "CREATE VIEW lineage_never_made AS SELECT 1 AS one", "ORDER": "SELECT n_name FROM nation ORDER BY n_name"}
+    types = {k: parse(spark, q).statement_type for k, q in texts.items()}
+    return spark.createDataFrame([(k, v, classify.write_mode(v)) for k, v in types.items()], "statement string, statement_type string, write_mode string")
+
+
+@REGISTRY.query(_values([("udf", True)], "category, black_box"))
+def l_black_box(t: Tables) -> DataFrame:
+    views(t).udf.register("plain_udf", lambda x: x, "string")
+    return _rows(t, STATEMENTS["udf"], "expression").select("category", "black_box")
+
+
 def _written(t: Tables) -> SparkSession:
     spark = views(t)
-    spark.sql("CREATE TABLE IF NOT EXISTS lineage_target_segment (segment STRING, paid DOUBLE, n BIGINT) USING parquet")
+    if not spark.catalog.tableExists("default.lineage_target_segment"):
+        spark.sql(f"CREATE TABLE default.lineage_target_segment (segment STRING, paid DOUBLE, n BIGINT) USING parquet LOCATION '{own_folder(spark, 'lineage_target_segment')}'")
     return spark
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators.registry import Registry, Tables
+from tracewell.sources.shared import own_folder
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -270,7 +271,7 @@ def r37_insert_overwrite(t: Tables) -> DataFrame:
     """Two overwrites of a static partition: only the second one's rows stay."""
     name = _scratch("insert_overwrite")
     t.orders.createOrReplaceTempView(f"{name}_source")
-    t.spark.sql(f"CREATE TABLE {name} (o_orderkey BIGINT, o_orderstatus STRING, dt STRING) USING parquet PARTITIONED BY (dt)")
+    t.spark.sql(f"CREATE TABLE {name} (o_orderkey BIGINT, o_orderstatus STRING, dt STRING) USING parquet PARTITIONED BY (dt) LOCATION '{own_folder(t.spark, name)}'")
     for status in "OF":
         t.spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (dt = '2026-03-20') SELECT o_orderkey, o_orderstatus FROM {name}_source WHERE o_orderstatus = '{status}'")
     return t.spark.table(name)
@@ -280,7 +281,7 @@ def r37_insert_overwrite(t: Tables) -> DataFrame:
 def r38_create_table_as(t: Tables) -> DataFrame:
     name = _scratch("ctas")
     t.customer.createOrReplaceTempView(f"{name}_source")
-    t.spark.sql(f"CREATE TABLE {name} USING parquet AS SELECT c_mktsegment, count(*) AS n FROM {name}_source GROUP BY c_mktsegment")
+    t.spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{own_folder(t.spark, name)}' AS SELECT c_mktsegment, count(*) AS n FROM {name}_source GROUP BY c_mktsegment")
     return t.spark.table(name)
 
 

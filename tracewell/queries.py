@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.functions import scalar
-from tracewell.operators import graph_queries, lineage_queries, relational, store_queries
+from tracewell.operators import graph_queries, lineage_queries, relational, report_queries, store_queries
 from tracewell.operators.registry import Tables
 from tracewell.plans.lineage import column_lineage
 
-REGISTRIES = [relational.REGISTRY, scalar.REGISTRY, graph_queries.REGISTRY, lineage_queries.REGISTRY, store_queries.REGISTRY]
+REGISTRIES = [relational.REGISTRY, scalar.REGISTRY, graph_queries.REGISTRY, lineage_queries.REGISTRY, store_queries.REGISTRY, report_queries.REGISTRY]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
