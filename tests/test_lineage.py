@@ -146,3 +146,35 @@ def test_graph_walks_are_safe_on_cycles(spark):
     assert {(r["node"], r["depth"]) for r in closure(e, s).collect()} == {("c", 0), ("b", 1), ("a", 2), ("z", 3)}
     assert [tuple(r) for r in leaf_sources(e, s).collect()] == [("c", "z")]
     assert [r["path"] for r in paths(e, s, limit=5).collect()] == [["c", "b", "a", "z"]]
+
+
+@pytest.mark.parametrize("target", JOBS)
+def test_names_alone_give_the_same_columns(spark, chain, target):
+    from tracewell.plans.lineage import parse_plan
+    from tracewell.plans.names import Names
+    from tracewell.plans.reader import Reader
+
+    reader = Reader(spark)
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"INSERT OVERWRITE TABLE {target} {JOBS[target]}")
+    found = parse_plan(spark, reader, parsed, parsed, TaskContext(), None, "sql", plan=Names(reader).read(parsed))
+    bare = lambda s: {x.removeprefix("default.") for x in s}
+    assert {c: bare(s) for c, s in sources(found).items() if c in MADE_OF[target]} == {c: set(s.split()) for c, s in MADE_OF[target].items()}
+    assert bare(t["normalized_name"] for t in found.rows["table_ref"] if t["usage"] == "input") == set(READS[target].split())
+
+
+def test_missing_tables_are_read_by_name(spark, chain):
+    sql = "WITH a AS (SELECT g.k, sum(g.v) AS s FROM gone.facts g WHERE g.day = '1' GROUP BY g.k) INSERT INTO gone.target SELECT a.k, a.s * 2, n.n_name, CASE WHEN other.x > 0 THEN y ELSE 0 END FROM a JOIN nation n ON a.k = n.n_nationkey LEFT JOIN other ON other.k = a.k"
+    with pytest.raises(Exception, match="gone"):
+        parse(spark, sql)
+    result = parse(spark, sql, by_name=True)
+    refs = {(t["normalized_name"], t["usage"]) for t in result.rows["table_ref"]}
+    assert refs == {("gone.facts", "input"), ("nation", "input"), ("other", "input"), ("gone.target", "output")}
+    made = [s for _, s in sorted(sources(result).items())]
+    assert {frozenset(s) for s in made} >= {frozenset({"gone.facts.k"}), frozenset({"gone.facts.v"}), frozenset({"nation.n_name"})}
+    assert any("other.x" in s for s in made) and [w["code"] for w in result.rows["warning"]] == ["NOT_ANALYZED"]
+    assert {p["predicate_role"] for p in result.rows["predicate"]} == {"where", "join_on"}
+
+
+def test_a_name_that_fits_two_tables_stays_unbound(spark, chain):
+    result = parse(spark, "SELECT x, a.y FROM gone_a a JOIN gone_b b ON a.k = b.k", by_name=True)
+    assert {c: s for c, s in sources(result).items()} == {"y": {"gone_a.y"}}

@@ -197,3 +197,19 @@ def l_dataframe_columns(t: Tables) -> DataFrame:
     """A DataFrame without SQL: files are tables by the last part of their path."""
     df = t.orders.filter("o_totalprice > 5").select(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("paid"))
     return column_lineage(t.spark, df).select("source_table", "source_column")
+
+
+_GONE = "WITH a AS (SELECT g.k, sum(g.v) AS s FROM gone_facts g WHERE g.day = '1' GROUP BY g.k) SELECT a.k AS k, a.s * 2 AS twice, n.n_name AS nation, CASE WHEN o.x > 0 THEN o.y ELSE 0 END AS y FROM a JOIN nation n ON a.k = n.n_nationkey LEFT JOIN gone_others o ON o.k = a.k"
+
+
+@REGISTRY.query(_values([("k", "gone_facts.k"), ("twice", "gone_facts.v"), ("nation", "nation.n_name"), ("y", "gone_others.x"), ("y", "gone_others.y")], "output_column, source"))
+def l_columns_by_name(t: Tables) -> DataFrame:
+    """A statement over missing tables, read by qualifiers and names."""
+    spark = views(t)
+    return spark.createDataFrame(parse(spark, _GONE, by_name=True).column_sources, "output_column string, source string")
+
+
+@REGISTRY.query(_values([("NO_OUTPUT_TABLE",), ("NOT_ANALYZED",)], "code"))
+def l_warnings_by_name(t: Tables) -> DataFrame:
+    spark = views(t)
+    return graph.frames_of(spark, parse(spark, _GONE, by_name=True).rows, RESULT, ["warning"])["warning"].select("code")

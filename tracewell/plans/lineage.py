@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import graph
 from tracewell.plans import ids, schema
-from tracewell.plans.reader import Reader
+from tracewell.plans.names import Names
+from tracewell.plans.reader import Plan, Reader
 from tracewell.plans.resolve import Lineage, Resolver, physical_sources
 
 
@@ -60,20 +61,32 @@ def event_row(spark: SparkSession, event_id: str, context: TaskContext, func: st
     return {"event_id": event_id, "status": status, "task": dict(context.__dict__), "app": app_context(spark), "func_name": func, "duration_ns": duration_ns, "capture_time_ms": int(time.time() * 1000) if when_ms is None else when_ms, "error_message": error, "plans": {k: plans.get(k) for k in ("logical", "analyzed", "optimized", "physical")}}
 
 
-def parse(spark: SparkSession, sql_or_df: str | DataFrame, context: TaskContext | None = None, event_id: str | None = None, func: str = "sql", when_ms: int | None = None) -> Result:
-    """Lineage rows of a statement (analyzed, not run) or a DataFrame."""
+def parse(spark: SparkSession, sql_or_df: str | DataFrame, context: TaskContext | None = None, event_id: str | None = None, func: str = "sql", when_ms: int | None = None, by_name: bool = False) -> Result:
+    """Lineage rows of a statement (analyzed, not run) or a DataFrame.
+
+    by_name: a statement that cannot be analyzed is read by names instead, with a warning NOT_ANALYZED; else that is an error.
+    """
     reader = Reader(spark)
-    parsed, analyzed = reader.analyzed(sql_or_df)
+    try:
+        parsed, analyzed = reader.analyzed(sql_or_df)
+    except Exception as e:
+        if not by_name or isinstance(sql_or_df, DataFrame):
+            raise
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql_or_df)
+        return parse_plan(spark, reader, parsed, parsed, context or TaskContext(), event_id, func, when_ms, plan=Names(reader).read(parsed), warning=("NOT_ANALYZED", str(e).strip().splitlines()[0]))
     return parse_plan(spark, reader, parsed, analyzed, context or TaskContext(), event_id, func, when_ms)
 
 
-def parse_plan(spark: SparkSession, reader: Reader, parsed, analyzed, context: TaskContext, event_id: str | None, func: str, when_ms: int | None = None, status: str = "SUCCESS", duration_ns: int = 0) -> Result:
+def parse_plan(spark: SparkSession, reader: Reader, parsed, analyzed, context: TaskContext, event_id: str | None, func: str, when_ms: int | None = None, status: str = "SUCCESS", duration_ns: int = 0, plan: Plan | None = None, warning: tuple[str, str] | None = None) -> Result:
     texts = {"logical": parsed.toString(), "analyzed": analyzed.toString()}
     event = event_row(spark, event_id or runtime_event_id(context, status, func, texts["analyzed"], texts["logical"]), context, func, texts, status, duration_ns, when_ms)
     lineage = Lineage(event["event_id"], context.task_id, context.run_id, event["capture_time_ms"] // 1000)
     resolver = Resolver(lineage)
-    resolver.statement(reader.plan(analyzed))
-    return Result(event, lineage.rows(), lineage.statement_type, physical_sources(lineage, resolver))
+    resolver.statement(plan or reader.plan(analyzed))
+    rows = lineage.rows()
+    if warning:
+        rows["warning"].append(dict(zip(("code", "message"), warning)))
+    return Result(event, rows, lineage.statement_type, physical_sources(lineage, resolver))
 
 
 def lineage_of(spark: SparkSession, sql_or_df: str | DataFrame, context: TaskContext | None = None, **options) -> dict[str, DataFrame]:
