@@ -148,6 +148,14 @@ def test_graph_walks_are_safe_on_cycles(spark):
     assert [r["path"] for r in paths(e, s, limit=5).collect()] == [["c", "b", "a", "z"]]
 
 
+def test_paths_say_where_they_are_cut(spark):
+    e = spark.createDataFrame([(f"n{k + 1}", f"n{k}") for k in range(6)] + [("m", "n0")], "src string, dst string")
+    s = spark.createDataFrame([("n0",)], "seed string")
+    assert {(tuple(r["path"]), r["whole"]) for r in paths(e, s, max_depth=2).collect()} == {(("n0", "m"), True), (("n0", "n1", "n2"), False)}
+    assert [r["path"] for r in paths(e, s, limit=1).collect()] == [["n0", "m"]]
+    assert {(r["hops"], r["whole"]) for r in paths(e, s, max_depth=6).collect()} == {(1, True), (6, True)}
+
+
 @pytest.mark.parametrize("target", JOBS)
 def test_names_alone_give_the_same_columns(spark, chain, target):
     from tracewell.plans.lineage import parse_plan

@@ -44,22 +44,24 @@ def leaf_sources(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, limit: int | None = None) -> DataFrame:
-    """(seed, path, hops): maximal simple reverse paths of up to max_depth hops, in order, `limit` of them if given."""
+    """(seed, path, hops, whole): simple reverse paths to where no edge leads on. One that has max_depth hops and could go
+    on is cut there, and not whole. With `limit`, so many of the shortest (then by seed and path), and no step beyond them."""
     step = stored(edges.select(F.col("dst").alias("_at"), F.col("src").alias("_to")).distinct(), "path-edges")
     front = seeds.select("seed", F.array("seed").alias("path"))
-    done = None
-    for _ in range(max_depth):
+    done, found = None, 0
+    for depth in range(max_depth + 1):
         out = front.join(step, (F.element_at("path", -1) == F.col("_at")) & ~F.array_contains("path", F.col("_to")), "left")
         out = stored(out, "paths")
-        ended = out.filter("_to is null").select("seed", "path")
+        ended = out.filter("_to is null").select("seed", "path", F.lit(True).alias("whole"))
+        if depth == max_depth:
+            ended = ended.unionByName(out.filter("_to is not null").select("seed", "path", F.lit(False).alias("whole")).distinct())
         done = ended if done is None else done.unionByName(ended)
+        found += ended.count() if limit is not None else 0
         front = out.filter("_to is not null").select("seed", F.concat("path", F.array("_to")).alias("path"))
-        if front.isEmpty():
+        if limit is not None and found >= limit or front.isEmpty():
             break
-    else:
-        done = front if done is None else done.unionByName(front)
-    out = done.select("seed", "path", (F.size("path") - 1).alias("hops"))
-    return out.orderBy("seed", "path").limit(limit) if limit is not None else out
+    out = done.select("seed", "path", (F.size("path") - 1).alias("hops"), "whole")
+    return out.orderBy("hops", "seed", "path").limit(limit) if limit is not None else out
 
 
 def histogram(edges: DataFrame, by: str = "edge_type") -> DataFrame:

@@ -62,7 +62,7 @@ def g_downstream(t: Tables) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_HIERARCHY}, {_REGIONS}, walk(seed, node, path) AS (SELECT seed, seed, [seed] FROM seeds UNION ALL SELECT w.seed, e.src, list_append(w.path, e.src) FROM walk w JOIN edges e ON e.dst = w.node) SELECT seed, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops FROM walk WHERE node NOT IN (SELECT dst FROM edges)")
 def g_paths(t: Tables) -> DataFrame:
-    return graph.paths(hierarchy(t), regions(t)).withColumn("path", F.array_join("path", ">"))
+    return graph.paths(hierarchy(t), regions(t)).filter("whole").select("seed", F.array_join("path", ">").alias("path"), "hops")
 
 
 @query(f"WITH {_HIERARCHY} SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
