@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.plans.lineage import Result, TaskContext, event_row, parse_plan, runtime_event_id
-from tracewell.plans.reader import Reader
+from tracewell.plans.reader import Reader, get, option
+from tracewell.sources.shared import shared_dir
 
 log = logging.getLogger(__name__)
 _CONTEXT: contextvars.ContextVar[TaskContext | None] = contextvars.ContextVar("task_context", default=None)
@@ -95,11 +96,13 @@ class Listener:
 
     def __init__(self, capture: Capture):
         self.capture, self.seen = capture, set()
+        self.own = shared_dir(capture.spark).removeprefix("file:").lstrip("/")
 
     def register(self) -> Listener:
         from pyspark.java_gateway import ensure_callback_server_started
 
         ensure_callback_server_started(self.capture.spark.sparkContext._gateway)
+        self.drain()  # what has ended before is not ours
         self.capture.spark._jsparkSession.listenerManager().register(self)
         _LISTENERS.append(self)
         return self
@@ -117,6 +120,9 @@ class Listener:
     def onSuccess(self, func, execution, duration):  # noqa: N802  the JVM interface's names
         try:
             c, analyzed = self.capture, execution.analyzed()
+            path = get(analyzed, "outputPath")
+            if path is not None and option(get(analyzed, "catalogTable")) is None and path.toString().removeprefix("file:").lstrip("/").startswith(self.own):
+                return  # a table of this library's own walks
             plan = c.reader.plan(analyzed)
             context = current_context(c.spark)
             print_of = (context, tuple(p.kind for p in plan.walk()), tuple(p.target.normalized for p in plan.walk() if p.target), analyzed.toString())
