@@ -95,7 +95,7 @@ class Listener:
     event: of what runs in this process, else of the session's configuration."""
 
     def __init__(self, capture: Capture):
-        self.capture, self.seen = capture, set()
+        self.capture, self.seen, self.closed = capture, set(), False
         self.own = shared_dir(capture.spark).removeprefix("file:").lstrip("/")
 
     def register(self) -> Listener:
@@ -113,11 +113,16 @@ class Listener:
             self.capture.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(most_ms)
 
     def unregister(self) -> None:
+        # Spark knows the Java side of this object by reference, and Py4J makes a new one at every call: so Spark may
+        # keep calling, and is answered at once.
+        self.closed = True
         self.capture.spark._jsparkSession.listenerManager().unregister(self)
         if self in _LISTENERS:
             _LISTENERS.remove(self)
 
     def onSuccess(self, func, execution, duration):  # noqa: N802  the JVM interface's names
+        if self.closed:
+            return
         try:
             c, analyzed = self.capture, execution.analyzed()
             path = get(analyzed, "outputPath")
@@ -136,6 +141,8 @@ class Listener:
             log.warning("lineage of %s was not captured", func, exc_info=True)
 
     def onFailure(self, func, execution, error):  # noqa: N802
+        if self.closed:
+            return
         with contextlib.suppress(Exception):
             self.capture.failed(func, execution.logical().toString(), RuntimeError(error.toString()))
 
