@@ -9,6 +9,7 @@ from tracewell.operators.registry import Registry
 REGISTRY = Registry()
 
 #: name -> (table, key, Spark expression, DuckDB expression)
+#: Spark signs years beyond 9999 and pads negative ones to four digits; strftime does neither.
 _EXPRESSIONS = {
     "nvl": ("customer", "c_custkey", "nvl(nullif(c_mktsegment, 'BUILDING'), 'none')", "coalesce(nullif(c_mktsegment, 'BUILDING'), 'none')"),
     "coalesce": ("customer", "c_custkey", "coalesce(nullif(c_mktsegment, 'BUILDING'), nullif(c_name, ''), 'none')", "coalesce(nullif(c_mktsegment, 'BUILDING'), nullif(c_name, ''), 'none')"),
@@ -26,7 +27,7 @@ _EXPRESSIONS = {
     "to_date": ("orders", "o_orderkey", "to_date(o_orderdate)", "CAST(o_orderdate AS DATE)"),
     "date": ("events", "event_id", "date(ts)", "CAST(ts AS DATE)"),
     "date_format": ("orders", "o_orderkey", "date_format(o_orderdate, 'yyyy/MM/dd')", "strftime(o_orderdate, '%Y/%m/%d')"),
-    "from_unixtime": ("orders", "o_orderkey", "from_unixtime(o_orderkey * 86400)", "strftime(make_timestamp(o_orderkey * 86400 * 1000000), '%Y-%m-%d %H:%M:%S')"),
+    "from_unixtime": ("orders", "o_orderkey", "regexp_replace(from_unixtime(o_orderkey * 86400), '^[+]|(?<=^-)0+', '')", "strftime(make_timestamp(o_orderkey * 86400 * 1000000), '%Y-%m-%d %H:%M:%S')"),
     "last_day": ("orders", "o_orderkey", "last_day(o_orderdate)", "last_day(o_orderdate)"),
     "day": ("orders", "o_orderkey", "day(o_orderdate)", "CAST(day(o_orderdate) AS INTEGER)"),
     "date_add": ("orders", "o_orderkey", "date_add(to_date(o_orderdate), 10)", "CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS DATE)"),
