@@ -282,6 +282,60 @@ def test_long_texts_of_assignments_take_bounded_memory():
     assert peaks[1] < 5 * peaks[0] and peaks[1] < 150e6
 
 
+NESTED = {
+    "comments": lambda n: "# " * n + 'password = "Zx9Qw8Er7Ty6"', "blocks": lambda n: "/* # <!-- // " * n + 'password = "Zx9Qw8Er7Ty6"', "blocks of lines": lambda n: "/* #\n" * n + 'password = "Zx9Qw8Er7Ty6"',
+    "strings": lambda n: "// " * n + """x = " y = '# password = Zx9Qw8Er7Ty6' " """, "scopes": lambda n: 'x { k = "Zx9Qw8Er7Ty6"\n' + "a = {\n" * n + "password = k" + "}" * n,
+}
+
+
+@pytest.mark.parametrize("kind", NESTED)
+@pytest.mark.parametrize("depth", [1, 4, 60, 20_000])
+def test_secrets_nested_to_any_depth(kind, depth):
+    assert pair_texts(NESTED[kind](depth)) == ["Zx9Qw8Er7Ty6"]
+
+
+def test_nested_secrets_come_through_the_operator(spark):
+    df = spark.createDataFrame([(k, f(100)) for k, f in enumerate(NESTED.values())], "doc_id long, text string")
+    rows = secrets.find_secrets(df).join(df, "doc_id").collect()
+    assert len(rows) == len(NESTED)
+    for r in rows:
+        at = r["text"].index("Zx9Qw8Er7Ty6")
+        assert f"pair:{at}:{at + 12}" in r["spans"].split(",")
+
+
+def test_names_in_many_scopes_as_by_looking_from_the_innermost_out():
+    import random
+
+    for seed in range(60):
+        rng, scopes, lines, want = random.Random(seed), [{}], [], set()
+        for k in range(600):
+            move = rng.random()
+            if move < 0.4:
+                scopes.append({})
+                lines.append("{")
+            elif move < 0.6 and len(scopes) > 1:
+                scopes.pop()
+                lines.append("}")
+            elif move < 0.8:
+                name, literal = rng.choice(["alpha", "colour", "row", "helper"]) + str(rng.randint(1, 9)), f"Q{k}z!abcdEFGH01"
+                scopes[-1][name] = {literal}
+                lines.append(f"{name} = '{literal}'")
+            else:
+                name = rng.choice(["alpha", "colour", "row", "helper"]) + str(rng.randint(1, 9))
+                want |= next((s[name] for s in reversed(scopes) if name in s), set())
+                lines.append(f"db_password = {name}")
+        assert set(pair_texts("\n".join(lines))) == want
+
+
+def test_escaped_quotes_of_a_long_line_are_not_searched_again():
+    import time
+
+    text = 'x = "' + r"{\"a\": \"b\"} " * 20_000 + "password = 'Zx9Qw8Er7Ty6'" + '"'
+    start = time.process_time()
+    assert pair_texts(text) == ["Zx9Qw8Er7Ty6"]
+    assert time.process_time() - start < 20  # minutes where each quote looks for its end anew
+
+
 # --- 4 SimHash
 
 

@@ -48,13 +48,14 @@ AFTER = re.compile(rf"\]?[ \t]*({_OP})")
 JOIN = re.compile(r"[ \t]*(?:\+(?!=)|\.\.|\|\||&&?|\.)\s*")
 BLANK = re.compile(r"[ \t]*")
 REFERENCE = re.compile(r"^(?:\$\{?|\{\{\s*|%\()?([A-Za-z_][\w.-]*?)(?:\}|\s*\}\}|\)s)?$")
-#: Where the lexer stops: a bound name (quoted or not), a flag, an element, a comment, a string, a brace.
+#: Where the lexer stops: a bound name (quoted or not), a flag, an element, a comment, a quote, a brace.
 EVENT = re.compile(
     rf"""(?<![\w$.-])(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)[ \t]*(?P<op>{_OP})|(?<!\S)--(?P<flag>[A-Za-z][\w-]*+)[ \t]+(?=[^\s-])|<(?P<tag>[A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>(?P<inside>[^<>]*+)</"""
-    rf"""|(?P<block>/\*|<!--)|(?<!\S)(?P<line>//|\#|--(?=\s))|(?<!\w)(?P<string>{_STRING})|(?P<open>\{{)|(?P<close>\}})"""
+    rf"""|(?P<block>/\*|<!--)|(?<!\S)(?P<line>//|\#|--(?=\s))|(?<!\w)(?P<string>["'`])|(?P<open>\{{)|(?P<close>\}})"""
 )
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-DEPTH = 3
+#: What ends a comment; others end with the line.
+CLOSERS = {"/*": "*/", "<!--": "-->"}
 
 
 def name_score(name: str) -> float:
@@ -75,11 +76,44 @@ def literal_score(value: str) -> float:
     return bits + 0.5 * (classes - 1)
 
 
+class Scopes:
+    """Names of the open scopes. Each name has a stack of its bindings, so the innermost is found at once, however many scopes are open."""
+
+    def __init__(self) -> None:
+        self.held = [0.0]  # score of the name that holds each scope
+        self.own: list[list[str]] = [[]]  # names bound in each
+        self.bound: dict[str, list[tuple[int, int]]] = {}  # scope and binding, innermost last
+
+    def open(self, score: float) -> None:
+        self.held.append(score)
+        self.own.append([])
+
+    def close(self) -> None:
+        if len(self.own) > 1:
+            self.held.pop()
+            for name in self.own.pop():
+                self.bound[name].pop()
+
+    def bind(self, name: str, binding: int) -> None:
+        stack, scope = self.bound.setdefault(name, []), len(self.own)
+        if stack and stack[-1][0] == scope:
+            stack.pop()
+        else:
+            self.own[-1].append(name)
+        stack.append((scope, binding))
+
+    def get(self, name: str) -> int | None:
+        stack = self.bound.get(name)
+        return stack[-1][1] if stack else None
+
+
 class Lexer:
     """Bindings of a text, in order: names, their literals, and the earlier bindings that they are made of.
 
-    A binding keeps references and no values, so chains of constants cost what their text costs. Braces open scopes;
-    comments and strings are lexed too, as scopes of their own, to a depth of DEPTH.
+    A binding keeps references and no values, so chains of constants cost what their text costs. Braces open scopes, of
+    any number; comments and strings are lexed too, as regions with scopes of their own, one in another to any depth.
+    What holds a comment does not read it, and a string holds none of its own kind of quotes, so no character is read
+    more often than there are kinds, whatever the depth.
     """
 
     def __init__(self, text: str) -> None:
@@ -87,71 +121,87 @@ class Lexer:
         self.names: list[float] = []  # score of each binding's name
         self.uses: list[list[int]] = []  # earlier bindings in its value
         self.literals: list[tuple[list[tuple[int, int]], str]] = []  # spans in its value, and what they join to
-        self.walk(0, len(text), [({}, 0.0)], 0)
+        self.regions: list[tuple[int, int, frozenset[str]]] = [(0, len(text), frozenset())]  # still to be lexed
+        while self.regions:
+            self.walk(*self.regions.pop())
 
-    def walk(self, at: int, end: int, scopes: list[tuple[dict[str, int], float]], depth: int) -> None:
+    def walk(self, at: int, end: int, absent: frozenset[str]) -> None:
+        """Lex a region; absent: ends of comments that are known not to occur in it."""
         text, held = self.text, 0.0
+        self.scopes = Scopes()
+        self.unclosed: dict[str, int] = {}  # up to where no quote of a kind begins a string
         while m := EVENT.search(text, at, end):
             kind, at = m.lastgroup, m.end()
             if kind == "op":
-                at, held = self.bind(m["name"], m["op"], at, end, scopes, depth)
+                at, held = self.bind(m["name"], m["op"], at, end, absent)
             elif kind == "flag":
-                at, held = self.bind(m["flag"], "", at, end, scopes, depth)
+                at, held = self.bind(m["flag"], "", at, end, absent)
             elif kind == "inside":
                 if text.startswith(m["tag"], at) and (value := m["inside"].strip()):
                     lo = m.start("inside") + m["inside"].index(value)
-                    self.keep(m["tag"], [(lo, lo + len(value))], value, [], scopes)
-                elif depth < DEPTH:
-                    self.walk(m.start("inside"), m.end("inside"), [({}, 0.0)], depth + 1)
+                    self.keep(m["tag"], [(lo, lo + len(value))], value, [])
+                else:
+                    self.regions.append((m.start("inside"), m.end("inside"), absent))
             elif kind in ("block", "line"):
-                close = text.find({"/*": "*/", "<!--": "-->"}.get(m[kind], "\n"), at, end)
+                closer = CLOSERS.get(m[kind], "\n")
+                close = -1 if closer in absent else text.find(closer, at, end)
                 close = end if close < 0 else close
-                if depth < DEPTH:
-                    self.walk(at, close, [({}, 0.0)], depth + 1)
+                self.regions.append((at, close, absent | {closer}))
                 at = close
             elif kind == "string":
-                if (after := AFTER.match(text, at, end)) and "\n" not in m["string"]:  # a quoted key, or a subscript
-                    at, held = self.bind(m["string"].strip("\"'`"), after[1], after.end(), end, scopes, depth)
+                if (s := self.string(m.start(), end)) is None:
+                    continue
+                at = s.end()
+                if (after := AFTER.match(text, at, end)) and "\n" not in s[0]:  # a quoted key, or a subscript
+                    at, held = self.bind(s[0].strip("\"'`"), after[1], after.end(), end, absent)
                 else:
-                    self.inner(m.start(), at, depth)
+                    self.inner(s.start(), at, absent)
             elif kind == "open":
-                scopes.append(({}, held))
+                self.scopes.open(held)
                 held = 0.0
-            elif len(scopes) > 1:
-                scopes.pop()
-
-    def inner(self, lo: int, hi: int, depth: int) -> None:
-        if depth < DEPTH and hi - lo > 8:
-            self.walk(lo + 1, hi - 1, [({}, 0.0)], depth + 1)
+            else:
+                self.scopes.close()
 
-    def keep(self, name: str, spans: list[tuple[int, int]], joined: str, uses: list[int], scopes: list[tuple[dict[str, int], float]]) -> float:
-        score = scopes[-1][1] if name.lower() in NEUTRAL and scopes[-1][1] else name_score(name)
-        scopes[-1][0][name] = len(self.names)
+    def string(self, at: int, end: int) -> re.Match[str] | None:
+        """The string that begins at `at`. Where a quote is not closed on its line, those of its kind behind it are escaped, and not closed either."""
+        quote = self.text[at]
+        if quote not in "\"'`" or at < self.unclosed.get(quote, 0):
+            return None
+        if (m := STRING.match(self.text, at, end)) is None:
+            line = self.text.find("\n", at, end)
+            self.unclosed[quote] = end if line < 0 else line
+        return m
+
+    def inner(self, lo: int, hi: int, absent: frozenset[str]) -> None:
+        if hi - lo > 8:  # a name, an operator and the shortest literal that scores take more
+            self.regions.append((lo + 1, hi - 1, absent))
+
+    def keep(self, name: str, spans: list[tuple[int, int]], joined: str, uses: list[int]) -> float:
+        score = self.scopes.held[-1] if name.lower() in NEUTRAL and self.scopes.held[-1] else name_score(name)
+        self.scopes.bind(name, len(self.names))
         self.names.append(score)
         self.uses.append(uses)
         self.literals.append((spans, joined))
         return score
 
-    def bound(self, word: str, scopes: list[tuple[dict[str, int], float]]) -> int | None:
-        """The binding that a word refers to, from the innermost scope out; beyond 50 open scopes only the innermost and the outermost are asked."""
-        if (m := REFERENCE.match(word)) is None:
-            return None
-        return next((s[m[1]] for s, _ in reversed(scopes) if m[1] in s), None) if len(scopes) <= 50 else scopes[-1][0].get(m[1], scopes[0][0].get(m[1]))
+    def bound(self, word: str) -> int | None:
+        """The binding that a word refers to, from the innermost scope out."""
+        return self.scopes.get(m[1]) if (m := REFERENCE.match(word)) else None
 
-    def bind(self, name: str, op: str, at: int, end: int, scopes: list[tuple[dict[str, int], float]], depth: int) -> tuple[int, float]:
+    def bind(self, name: str, op: str, at: int, end: int, absent: frozenset[str]) -> tuple[int, float]:
         """Read the value at `at` and keep it; (where it ends, the name's score)."""
         text, spans, uses, strings = self.text, [], [], []
-        if op == "+=" and (old := self.bound(name, scopes)) is not None:
+        if op == "+=" and (old := self.bound(name)) is not None:
             uses.append(old)
         at = BLANK.match(text, at, end).end()
         deep = 0
         while at < end and text[at] == "(":
             deep, at = deep + 1, re.compile(r"\s*").match(text, at + 1, end).end()
         while at < end:
-            if m := STRING.match(text, at, end):
+            if m := self.string(at, end):
                 width = 3 if m[0][:3] in ('"""', "'''") else 1
                 lo, hi = m.start() + width, m.end() - width
-                if (ref := self.bound(m[0][width:-width], scopes)) is not None and text[lo] in "$%{":
+                if (ref := self.bound(m[0][width:-width])) is not None and text[lo] in "$%{":
                     uses.append(ref)
                 else:
                     spans.append((lo, hi))
@@ -159,7 +209,7 @@ class Lexer:
                 at, quoted = m.end(), True
             elif m := TERM.match(text, at, end):
                 word, quoted = m[0], False
-                found = [self.bound(w, scopes) for w in word.split("+")]
+                found = [self.bound(w) for w in word.split("+")]
                 if None not in found:
                     uses += found
                 elif text[m.end() : m.end() + 1] not in ("(", "[") and not re.fullmatch(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+", word):
@@ -173,9 +223,9 @@ class Lexer:
                 at = m.end()
             else:
                 break
-        score = self.keep(name, spans, "".join(text[a:b] for a, b in spans), uses, scopes)
+        score = self.keep(name, spans, "".join(text[a:b] for a, b in spans), uses)
         for lo, hi in strings:
-            self.inner(lo, hi, depth)
+            self.inner(lo, hi, absent)
         return at, score
 
     def found(self) -> Iterator[tuple[float, str, list[tuple[int, int]]]]:
@@ -215,8 +265,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no spans (the digest is that of the empty string). Null ids and repeated rows pass
     through, a row each; an empty table gives an empty result; other columns are not read. Spans of different kinds may
-    overlap; equal spans of one kind are listed once. Names, values and chains of constants may be of any length: time and
-    memory grow with the text. No shuffle.
+    overlap; equal spans of one kind are listed once. Names, values and chains of constants may be of any length, and
+    braces, comments and strings nest to any depth: time and memory grow with the text. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
